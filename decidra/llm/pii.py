@@ -1,0 +1,231 @@
+"""Personal information inside free text: detection, typed placeholders, and keyed surrogates.
+
+Patterns of formats find e-mail addresses, phone numbers, identity numbers and street addresses; names are found by given
+names and by the phrases that introduce a person. Each entity gets a surrogate from a keyed hash: the same entity in
+another spelling (case, order, spacing) gets the same one wherever it occurs, numbers keep their layout, names the gender
+of their given name and the case of their letters. A check over all entities parts those whose surrogates collide.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from decidra.session import cut_lineage
+
+# Given names by gender (f, m); longer lists can be passed in.
+GIVEN_F = "Greta Elisa Ilva Liora Clara Rhea Nora Sanne Thea Léa Mirela Zoë Nadja Dora Noémie Paula Marla Ines Wanda Freya Selma Åsa Vera Maren"
+GIVEN_M = "Iñigo Joren Anton Rufus Silas Jonas Tomas Oskar Orin Victor Felix Tavik Luca Aldo Henrik Pavel Jürgen Kasper Emil Matteo Yannick Bram"
+# Phrases and titles right before a person's full name.
+INTRODUCTIONS = (
+    "My name is|Je m[’']appelle|Me llamo|Mein Name ist|Mi chiamo|Chamo-me|Jag heter|Mijn naam is|filled in by|gehört|belongs to|tillhör|"
+    "Please ask for|cc|You can reach|Sie erreichen|lo firmó|"
+    r"Mr\.|Mrs\.|Ms\.|Dr\.|Herr(?: Dr\.)?|Frau(?: Dr\.)?|Mme|Mlle|La Sra\.|El Sr\.|"
+    r"\"who\": \""
+)
+_TITLES = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr|M|Sig|sig)\.|Herr|Frau|Mme|Mlle|Monsieur|Madame|de heer|mevrouw)"
+_W = "A-Za-z0-9À-ÖØ-öø-ɏ"
+_AT, _ATX = r"(?:@|＠| @ | ＠ | ?\(at\) ?| ?\[at\] ?)", r" at "
+_DOTX = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
+_HOST = rf"(?:[a-z0-9\-]+(?:{_DOTX}[a-z0-9\-]+)*{_DOTX}[a-z]{{2,}}|[A-Z0-9\-]+(?:{_DOTX}[A-Z0-9\-]+)*{_DOTX}[A-Z]{{2,}})"
+EMAIL = re.compile(
+    rf"(?<![{_W}._%+\-])[{_W}](?:[{_W}._%+\-]*[{_W}])?(?:{_AT}{_HOST}|{_ATX}(?:[a-z0-9\-]+ dot )+[a-z]{{2,}}|{_ATX}(?:[A-Z0-9\-]+ dot )+[A-Z]{{2,}})(?![A-Za-z0-9@])"
+)
+_D = "0-9０-９"
+_SEP = r"[ .\-–/－．  ]"
+PHONE = re.compile(
+    rf"(?<![{_D}A-Za-z#№.,\-])(?<![{_D}]{_SEP})(?:"
+    rf"(?:[+＋]|[0０][0０])[{_D}]{{1,3}}{_SEP}?(?:[(（][{_D}]{{1,4}}[)）]{_SEP}?)?[{_D}]{{1,5}}(?:{_SEP}?[{_D}]{{2,8}}){{1,5}}"  # international
+    rf"|[+＋][{_D}]{{8,14}}"
+    rf"|(?:[1１]{_SEP})?[(（]?[2-9２-９][{_D}]{{2}}[)）]?{_SEP}[{_D}]{{3}}{_SEP}[{_D}]{{4}}"  # 3-3-4
+    rf"|[(（][0０][{_D}]{{1,5}}[)）]{_SEP}?[{_D}]{{3,8}}(?:{_SEP}[{_D}]{{2,6}}){{0,3}}"  # (030) ...
+    rf"|[0０][{_D}]{{2,4}}{_SEP}[{_D}]{{3,8}}(?:{_SEP}[{_D}]{{3,4}}){{0,2}}"  # 020 7946 0421, 030/231255
+    rf"|[0０][1-9１-９](?:{_SEP}[{_D}]{{2}}){{4}}"  # pairs
+    rf")(?![{_D}])(?!{_SEP}[{_D}])"
+)
+ID_NUMBER = re.compile(
+    r"(?<![0-9A-Za-z.,\-/#+])(?<![0-9][ .\-])(?:"
+    r"[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]"
+    r"|[XYZKLM][0-9]{8}|[0-9]{8}[A-Z]|[0-9]{2}\.[0-9]{3}\.[0-9]{3}-?[A-Z]"
+    r"|[0-9]{3}([\- ])[0-9]{2}\1[0-9]{4}"
+    r"|[0-9]{4}([\- ])[0-9]{4}\2[0-9]{4}"
+    r"|[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}"
+    r"|[1-37-8] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}"
+    r"|[0-9]{17}[0-9X]|[0-9]{11}|[0-9]{9}"
+    r")(?![0-9A-Za-z\-])(?![ .\-][0-9])"
+)
+_NOT_ID = re.compile(r"(?:article|artículo|artikel|artigo|articolo|order|pedido|commande|auftrag|ordine|ticket|total|lane|#)\W*(?:\w+\W+)?$", re.I)
+_UP = "A-ZÀ-ÖØ-Þ"
+_TOWN = rf"[{_UP}][\w’'\-]+"
+_PLACE = rf"(?:[0-9]{{5}}\s{_TOWN}|{_TOWN}\s[0-9]{{5}}(?![0-9])|{_TOWN})"
+_EN = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Close|Drive|Dr|Boulevard|Blvd|Place|Square|Terrace|Way"
+ADDRESS = re.compile(
+    rf"(?:(?:Flat|FLAT|Apt\.?|Unit)\s[0-9]+[A-Za-z]?,\s)?(?<![0-9.,\-])[0-9]{{1,4}}[A-Za-z]?\s{_TOWN}\s(?:{_EN}|{_EN.upper()})\b\.?(?:,\s(?:Apt|APT|Flat|FLAT|Unit)\.?\s[0-9]+[A-Za-z]?)?(?:,\s|\s(?:in|IN)\s){_PLACE}"
+    rf"|\b{_TOWN}(?:str\.|straße|strasse|STRASSE|STRAẞE|STRASSE|STR\.|gasse|GASSE|weg|WEG|allee|platz|straat|STRAAT|laan|gracht|gatan|GATAN|vägen|VÄGEN)\s[0-9]{{1,4}}\s?[A-Za-z]?,\s{_PLACE}"
+    rf"|(?<![0-9.,\-])[0-9]{{1,4}}(?:\s(?:bis|ter|BIS|TER))?,?\s(?:rue|av\.|avenue|chemin|boulevard|bd|place|allée|RUE|AV\.|AVENUE|CHEMIN)\s(?:(?:des|de|du|la|le|les|DES|DE|DU|LA)\s|d[’']|l[’'])*{_TOWN},\s{_PLACE}"
+    rf"|\b(?:C/|Calle|Avda\.|Avenida|Av\.|Plaza|Paseo|CALLE|AVDA\.|Via|Viale|Piazza|Corso|V\.le|VIA|VIALE|Rua|R\.|Travessa|RUA|AVENIDA)\s(?:(?:de|da|do|di|del|della|la)\s)*{_TOWN},?\s(?:n\.?º?\s?)?[0-9]{{1,4}}[A-Za-z]?(?:,\s[0-9]{{1,2}}\.?[ºª°](?:\s[A-Z]\b|\s(?:izq|dcha|esq|dto)\.?)?)?,\s{_PLACE}"
+)
+
+
+_L = r"[^\W\d_]"
+_SUR = rf"(?:(?:van\s+der|van\s+den|van|von|de|di|da|del|VAN\s+DER|VON|DE)\s+)?(?:[OD][’']|o[’'])?(?:[{_UP}]{_L}+)(?:-(?:[OD][’'])?[{_UP}]{_L}+)*"
+_SUR_LOW = rf"(?:(?:van\s+der|van\s+den|van|von|de|di|da|del)\s+)?(?:o[’']|d[’'])?{_L}{{3,}}(?:-{_L}+)*"
+
+
+def name_patterns(given: list[str]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Full names with a known given name, names behind a phrase that introduces a person, and any given name."""
+    proper = "|".join(sorted({v for n in given for v in (n, n.upper())}, key=lambda v: (-len(v), v)))
+    lower = "|".join(sorted({n.lower() for n in given}, key=lambda v: (-len(v), v)))
+    ahead, behind = rf"(?:(?<![\w@＠.+\-])|(?<=[a-z0-9][.!?])(?=[{_UP}]))", r"(?![\w@＠])(?!\.[a-z0-9])"
+    known = (
+        rf"{ahead}(?:{proper})(?:\s(?:{proper}))?(?:\s[{_UP}]\.)?\s{_SUR}{behind}"
+        rf"|{ahead}(?:{_SUR},[  ]|(?<![\n]){_SUR},\n)(?:{proper})(?:\s(?:{proper})|\s[{_UP}]\.)?(?![\w@＠])(?!\s{_SUR}\s(?:{_EN})\b)"
+        rf"|{ahead}(?:{lower})(?:\s(?:{lower}))?(?:\s[a-z]\.)?\s{_SUR_LOW}{behind}"
+        rf"|{ahead}{_L}{{4,}}(?:-{_L}+)*,[  ](?:{lower})(?:\s(?:{lower}))?(?![\w@＠])"
+    )
+    word = rf"[{_UP}]{_L}+(?:-[{_UP}]{_L}+)*"
+    told = rf"(?<!\w)(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{word}(?:\s[{_UP}]\.|\s{word})?\s{_SUR})(?![\w@＠])"
+    return re.compile(known), re.compile(told), re.compile(rf"{proper}|{lower}")
+
+
+#: Words that are no surname though they follow a given name or a phrase.
+_NO_NAME = re.compile(r"\b(?:" + _EN + r"|Inc|Ltd|GmbH|SARL|S\.A|Partners|AG|BV|AB|Street)\b")
+
+
+def find(text: str, known: re.Pattern, told: re.Pattern, given: re.Pattern) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each item from left to right; where items overlap, the earlier kind in the order below wins."""
+    taken: list[tuple[int, int, str]] = []
+
+    def add(a: int, b: int, kind: str) -> None:
+        if all(b <= x or a >= y for x, y, _ in taken):
+            taken.append((a, b, kind))
+
+    if "@" in text or "＠" in text or "at" in text:
+        for m in EMAIL.finditer(text):
+            add(*m.span(), "email")
+    if re.search(rf"[{_D}]", text):
+        for m in ADDRESS.finditer(text):
+            add(*m.span(), "address")
+        for m in ID_NUMBER.finditer(text):
+            if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
+                add(*m.span(), "id_number")
+        for m in PHONE.finditer(text):
+            if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
+                add(*m.span(), "phone")
+    for m in known.finditer(text) if given.search(text) else ():
+        if not _NO_NAME.search(m[0]) and not re.match(r"\s(?:Inc|Ltd|GmbH|SARL|S\.A|&)\b", text[m.end() : m.end() + 8]):
+            add(*m.span(), "name")
+    for m in told.finditer(text):
+        if not _NO_NAME.search(m["told"]):
+            add(*m.span("told"), "name")
+    return sorted(taken)
+
+
+def canonical(kind: str, text: str) -> str:
+    """One form for all spellings of an entity, so that they get one surrogate."""
+    folded = " ".join(text.casefold().translate(str.maketrans("０１２３４５６７８９－＋＠", "0123456789-+@")).split())
+    if kind == "name":
+        last, comma, first = folded.partition(", ")
+        return f"{first} {last}" if comma else folded
+    if kind in ("phone", "id_number"):
+        return re.sub(r"[^0-9a-z]", "", folded.replace("(0)", ""))
+    if kind == "email":
+        return re.sub(r"\s*[(\[]?\b(at|dot)\b[)\]]?\s*", lambda m: "@" if m[1] == "at" else ".", folded).replace(" ", "")
+    return folded
+
+
+# Syllables of surrogate names and streets.
+_HEADS, _TAILS = "Ba Ce Di Fo Ga He Ju Ka Lo Mi Ne Po Ri Su Ta Vo".split(), "bel dan fir gor len mas nor pek ras sil tor vin wal zed kim lud".split()
+
+
+def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, female: frozenset[str] = frozenset(w.casefold() for w in GIVEN_F.split())) -> str:
+    """A replacement of the same kind: digits for digits in the same layout, a name of the same gender and letter case."""
+    digest = hmac.new(key, f"{kind}|{canonical(kind, text)}|{attempt}".encode(), hashlib.blake2b).digest()
+    made = lambda k: _HEADS[digest[k] % 16] + _TAILS[digest[k + 1] % 16] + _TAILS[digest[k + 2] % 16]
+    if kind in ("phone", "id_number"):
+        digits, k = [], 0
+        for ch in text:
+            if ch.isdigit():
+                k += 1
+                ch = str((int(ch) + digest[k % 64] + k) % 10)
+            elif ch.isalpha():
+                k += 1
+                ch = chr(65 + digest[k % 64] % 26)
+            digits.append(ch)
+        return "".join(digits)
+    if kind == "email":
+        return f"{made(0)}.{made(3)}{digest[9]}@example.org".lower()
+    if kind == "address":
+        return f"{digest[0] % 250 + 1} {made(1)} Street, {made(4)}"
+    first = canonical(kind, text).split(" ")[0]
+    pool = GIVEN_F.split() if first in female else GIVEN_M.split()
+    name = f"{pool[digest[0] % len(pool)]} {made(1)}{_TAILS[digest[4] % 16]}"
+    return name.upper() if text.isupper() else name.lower() if text.islower() else name
+
+
+ENTITIES = "array<struct<kind:string,start:int,end:int,text:string,entity:string,surrogate:string>>"
+
+
+def detect(df: DataFrame, text_col: str, key: bytes = b"decidra", given: tuple[str, ...] = (), out_col: str = "entities") -> DataFrame:
+    """Adds the personal information of each text: kind, range (half-open, from 0), spelling, canonical form, surrogate.
+
+    Null texts give null, texts without any an empty array; texts are read whole, repeated rows stay repeated, an existing
+    ``out_col`` is replaced, and all other columns are kept. ``given`` adds given names to the built-in ones.
+    """
+    names = [*GIVEN_F.split(), *GIVEN_M.split(), *given]
+
+    @F.pandas_udf(ENTITIES)  # type: ignore[call-overload]
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns = name_patterns(names)
+        for texts in batches:
+            yield pd.Series([None if t is None else [{"kind": k, "start": a, "end": b, "text": t[a:b], "entity": canonical(k, t[a:b]), "surrogate": surrogate(k, t[a:b], key)} for a, b, k in find(t, *patterns)] for t in texts])
+
+    return df.withColumn(out_col, run(F.col(f"`{text_col}`")))
+
+
+def distinct_surrogates(found: DataFrame, key: bytes = b"decidra", out_col: str = "entities", rounds: int = 8) -> DataFrame:
+    """The collision check: (kind, entity, surrogate) of all entities, with surrogates distinct between entities.
+
+    Entities of which two have one surrogate are few; all but the first by canonical form are hashed again, with the
+    number of the attempt, until none collide. Only (kind, entity) pairs are shuffled, grouped before they are compared.
+    """
+    flat = found.select(F.explode(F.col(f"`{out_col}`")).alias("e"))
+    kept = flat.groupBy(F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity")).agg(F.min("e.text").alias("text"), F.min("e.surrogate").alias("surrogate"))
+
+    def again(attempt: int):
+        @F.pandas_udf("string")  # type: ignore[call-overload]
+        def run(kind: pd.Series, text: pd.Series) -> pd.Series:
+            return pd.Series([surrogate(k, t, key, attempt) for k, t in zip(kind, text)], dtype=object)
+
+        return run
+
+    kept = cut_lineage(kept)
+    for attempt in range(1, rounds):
+        first = kept.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
+        if first.isEmpty():
+            break
+        clash = kept.alias("k").join(first.alias("f"), (F.col("k.kind") == F.col("f.kind")) & (F.lower("k.surrogate") == F.col("f.s")) & (F.col("k.entity") > F.col("f.first")), "left")
+        kept = cut_lineage(clash.select("k.kind", "k.entity", "k.text", F.when(F.col("f.s").isNotNull(), again(attempt)(F.col("k.kind"), F.col("k.text"))).otherwise(F.col("k.surrogate")).alias("surrogate")))
+    return kept.drop("text")
+
+
+def redact(found: DataFrame, text_col: str, entities_col: str = "entities", out_col: str = "redacted", surrogates: bool = False) -> DataFrame:
+    """Adds the text with each entity replaced by its typed placeholder ``[KIND_xxxxxxxx]`` or by its surrogate; all else is unchanged.
+
+    The placeholder's code is a hash of the canonical form, so that coreference stays readable. Null texts stay null.
+    """
+    text, entities = F.col(f"`{text_col}`"), F.col(f"`{entities_col}`")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc, e):
+        mark = e["surrogate"] if surrogates else F.concat(F.lit("["), F.upper(e["kind"]), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", e["kind"], e["entity"]), 256), 1, 8), F.lit("]"))
+        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), mark).alias("out"), e["end"].alias("at"))
+
+    whole = F.aggregate(entities, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(out_col, whole)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from decidra.plans import unit_queries
+
 FLAGSHIP = "decide_min_lexi"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**unit_queries.QUERIES}
 SQL: dict[str, str] = {}

@@ -38,7 +38,7 @@ EMAIL = re.compile(
     rf"(?<![{_W}._%+\-])[{_W}](?:[{_W}._%+\-]*[{_W}])?(?:{_AT}{_HOST}|{_ATX}(?:[a-z0-9\-]+ dot )+[a-z]{{2,}}|{_ATX}(?:[A-Z0-9\-]+ dot )+[A-Z]{{2,}})(?![A-Za-z0-9@])"
 )
 _D = "0-9０-９"
-_SEP = r"[ .\-–/－．  ]"
+_SEP = r"[ .\-–/－．\u00a0\u202f]"
 PHONE = re.compile(
     rf"(?<![{_D}A-Za-z#№.,\-])(?<![{_D}]{_SEP})(?:"
     rf"(?:[+＋]|[0０][0０])[{_D}]{{1,3}}{_SEP}?(?:[(（][{_D}]{{1,4}}[)）]{_SEP}?)?[{_D}]{{1,5}}(?:{_SEP}?[{_D}]{{2,8}}){{1,5}}"  # international
@@ -85,9 +85,9 @@ def name_patterns(given: list[str]) -> tuple[re.Pattern, re.Pattern, re.Pattern]
     ahead, behind = rf"(?:(?<![\w@＠.+\-])|(?<=[a-z0-9][.!?])(?=[{_UP}]))", r"(?![\w@＠])(?!\.[a-z0-9])"
     known = (
         rf"{ahead}(?:{proper})(?:\s(?:{proper}))?(?:\s[{_UP}]\.)?\s{_SUR}{behind}"
-        rf"|{ahead}(?:{_SUR},[  ]|(?<![\n]){_SUR},\n)(?:{proper})(?:\s(?:{proper})|\s[{_UP}]\.)?(?![\w@＠])(?!\s{_SUR}\s(?:{_EN})\b)"
+        rf"|{ahead}(?:{_SUR},[ \u00a0]|(?<![\n]){_SUR},\n)(?:{proper})(?:\s(?:{proper})|\s[{_UP}]\.)?(?![\w@＠])(?!\s{_SUR}\s(?:{_EN})\b)"
         rf"|{ahead}(?:{lower})(?:\s(?:{lower}))?(?:\s[a-z]\.)?\s{_SUR_LOW}{behind}"
-        rf"|{ahead}{_L}{{4,}}(?:-{_L}+)*,[  ](?:{lower})(?:\s(?:{lower}))?(?![\w@＠])"
+        rf"|{ahead}{_L}{{4,}}(?:-{_L}+)*,[ \u00a0](?:{lower})(?:\s(?:{lower}))?(?![\w@＠])"
     )
     word = rf"[{_UP}]{_L}+(?:-[{_UP}]{_L}+)*"
     told = rf"(?<!\w)(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{word}(?:\s[{_UP}]\.|\s{word})?\s{_SUR})(?![\w@＠])"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm import pii, sentences, splitting
+from decidra.llm import overlap, pii, sentences, splitting
 from decidra.session import bounded_broadcast, table
 
 
@@ -32,6 +32,22 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(once, "state").select("request_id", "piece_no", "piece")
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    held_out = F.when(F.col("split") == "train", F.lit(False)).when(F.col("split").isin("validation", "test"), F.lit(True))
+    return overlap.cross_split_overlaps(table(spark, d, "task_rows").select("row_id", "split", "state"), "row_id", "state", held_out)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one train row and one validation or test row with 80 % of their words in common."""
+    return _overlaps(spark, d).select(F.least("train_id", "held_out_id").alias("row_id_a"), F.greatest("train_id", "held_out_id").alias("row_id_b"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source of the held-out row: its rows with an overlap, and the overlaps."""
+    rows = table(spark, d, "task_rows").select(F.col("row_id").alias("held_out_id"), "split", "source").dropDuplicates(["held_out_id"])
+    return _overlaps(spark, d).join(rows, "held_out_id").groupBy("split", "source").agg(F.countDistinct("held_out_id").alias("rows_with_overlap"), F.count("*").alias("overlaps"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Each item of personal information of a state, spelled as in the state."""
     found = pii.detect(table(spark, d, "requests").select("request_id", "state").where("state is not null"), "state")
@@ -61,6 +77,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p3_surrogates": p3_surrogates,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm import overlap, pii, sentences, splitting
+from decidra.llm import language, leakage, overlap, packing, pii, sentences, splitting
 from decidra.session import bounded_broadcast, table
 
 
@@ -74,6 +74,45 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return once.select("origin", "record_id", F.explode("ends").alias("end_pos"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items they repeat."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: the documents that repeat it, and the largest share of it that one repeats."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.col("repeated") / F.col("units")).alias("largest_share"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All document texts in containers of 4,096 tokens."""
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that had to be split."""
+    return p6_containers(spark, d).where("piece_no > 1").select("doc_id").distinct()
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of the documents whose label is missing or wrong, or that are in several languages."""
+    wrong = (F.col("n_segments") > 1) | ~language.label_is(F.col("label"), F.col("lang"))
+    return _segments(spark, d).where(wrong).select("doc_id", "seg_no", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document and segment, with its confidence."""
+    return _segments(spark, d).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -83,5 +122,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_redacted": p3_redacted,
     "p3_surrogates": p3_surrogates,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+}
+SQL: dict[str, str] = {
+    "p6_found": "SELECT doc_id FROM documents WHERE text IS NOT NULL GROUP BY doc_id HAVING max(strlen(text)) + 1 > 4096",
 }
-SQL: dict[str, str] = {}

@@ -10,10 +10,10 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,13 +208,18 @@ MEASUREMENTS = T.ArrayType(T.StructType([T.StructField("quantity", T.StringType(
 _DIGITS_OR_WORDS = re.compile(r"\d|minut|分|second|sekunde|segundo|秒|hundred|hundert|cent |cien ", re.I)
 
 
-@F.pandas_udf(MEASUREMENTS)  # type: ignore[call-overload]
-def _read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, marks, units in batches:
-        yield pd.Series([
-            [{"quantity": q, "base_value": v, "unit_in_text": f} for q, v, f in read_measurements(t, m or ".", u or "")] if t is not None and _DIGITS_OR_WORDS.search(t) else []
-            for t, m, u in zip(texts, marks, units)
-        ])
+@F.arrow_udf(MEASUREMENTS)  # type: ignore[attr-defined]
+def _read(texts: pa.Array, marks: pa.Array, units: pa.Array) -> pa.Array:
+    quantities, values, stated, offsets = [], [], [], [0]
+    for text, mark, declared in zip(texts.to_pylist(), marks.to_pylist(), units.to_pylist()):
+        if text is not None and _DIGITS_OR_WORDS.search(text):
+            for quantity, value, from_text in read_measurements(text, mark or ".", declared or ""):
+                quantities.append(quantity)
+                values.append(value)
+                stated.append(from_text)
+        offsets.append(len(quantities))
+    each = pa.StructArray.from_arrays([pa.array(quantities, pa.string()), pa.array(values, pa.int64()), pa.array(stated, pa.bool_())], names=["quantity", "base_value", "unit_in_text"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
 
 
 def declared_units(units: DataFrame, source: str, quantity: str, unit: str) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.plans import unit_queries
+from decidra.plans import engine_queries, unit_queries
 
 FLAGSHIP = "decide_min_lexi"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**unit_queries.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**engine_queries.QUERIES, **unit_queries.QUERIES}
+SQL: dict[str, str] = {**engine_queries.SQL}

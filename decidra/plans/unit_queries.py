@@ -19,8 +19,11 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each quantity a candidate's text states with a value, in base units."""
-    each = _measured(spark, d).select("decision_id", "candidate_id", F.explode("measurements").alias("m"))
-    return each.select("decision_id", "candidate_id", F.col("m.quantity").alias("quantity"), F.col("m.base_value").alias("base_value")).where("base_value is not null").distinct()
+    known = F.filter("measurements", lambda m: m["base_value"].isNotNull())
+    values = F.array_sort(F.array_distinct(F.transform(known, lambda m: F.struct(m["quantity"].alias("quantity"), m["base_value"].alias("base_value")))))
+    # one row per candidate is shuffled: deliveries that say the same meet in a set before it
+    once = _measured(spark, d).select("decision_id", "candidate_id", values.alias("v")).where(F.size("v") > 0).groupBy("decision_id", "candidate_id").agg(F.collect_set("v").alias("v"))
+    return once.select("decision_id", "candidate_id", F.explode(F.array_distinct(F.flatten("v"))).alias("m")).select("decision_id", "candidate_id", "m.quantity", "m.base_value")
 
 
 def p4_unit_sources(spark: SparkSession, d: str) -> DataFrame:

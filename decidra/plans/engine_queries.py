@@ -117,9 +117,9 @@ def cosine_match(spark, d):
     means = flat.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
     means = means.select(F.col("label").alias("candidate"), F.transform("v", lambda s: s["m"]).alias("v"))
     every = means.agg(F.array_sort(F.collect_list(F.struct("candidate", "v"))).alias("all"))  # one row, one entry per label
-    scored = vectors.crossJoin(bounded_broadcast(every)).select("vec_id", F.transform("all", lambda m: F.struct((-F.round(sc.cosine(F.col("embedding"), m["v"]), 6)).alias("c"), m["candidate"].alias("candidate"))).alias("s"))
+    scored = vectors.crossJoin(bounded_broadcast(every)).select("vec_id", F.transform("all", lambda m: F.struct((-F.round(sc.cosine(F.col("embedding"), m["v"]), 9)).alias("c"), m["candidate"].alias("candidate"))).alias("s"))
     best = F.array_sort("s")
-    return scored.select("vec_id", best[0]["candidate"].cast("long").alias("label"), F.round(best[1]["c"] - best[0]["c"], 5).alias("lead"))
+    return scored.select("vec_id", best[0]["candidate"].cast("long").alias("label"), F.round(best[1]["c"] - best[0]["c"], 4).alias("lead"))
 
 
 def softmax_temperature(spark, d):
@@ -336,8 +336,8 @@ SQL = {
         df AS (SELECT term, count(*) AS df FROM f GROUP BY 1), q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS term FROM eval_items WHERE item_id % 20 = 0)
         SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / avgdl))), 4) AS score FROM q JOIN f USING (term) JOIN df USING (term), s GROUP BY 1, 2""",
     "cosine_match": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), m AS (SELECT label AS candidate, i, avg(x) AS m FROM e GROUP BY 1, 2),
-        c AS (SELECT vec_id, candidate, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS c FROM e JOIN m USING (i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, candidate) AS k FROM c)
-        SELECT vec_id, max(CASE WHEN k = 1 THEN candidate END)::BIGINT AS label, round(max(CASE WHEN k = 1 THEN c END) - max(CASE WHEN k = 2 THEN c END), 5) AS lead FROM r GROUP BY 1""",
+        c AS (SELECT vec_id, candidate, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 9) AS c FROM e JOIN m USING (i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, candidate) AS k FROM c)
+        SELECT vec_id, max(CASE WHEN k = 1 THEN candidate END)::BIGINT AS label, round(max(CASE WHEN k = 1 THEN c END) - max(CASE WHEN k = 2 THEN c END), 4) AS lead FROM r GROUP BY 1""",
     "observation_features": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY semantic DESC, pos) AS r, row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) AS q, exp((semantic - max(semantic) OVER (PARTITION BY obs_id)) / 0.05::DOUBLE) AS x FROM {_LANES}),
         p AS (SELECT *, x / sum(x) OVER (PARTITION BY obs_id) AS p FROM l), f AS (SELECT obs_id, count(*) AS n, max(semantic) AS s1, coalesce(max(CASE WHEN r = 2 THEN semantic END), max(semantic)) AS s2, avg(semantic) AS mu, stddev_pop(semantic) AS sd, max(bm25) AS b1,
         coalesce(max(CASE WHEN q = 2 THEN bm25 END), max(bm25)) AS b2, max(CASE WHEN r = 1 AND q = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS agree, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS ent, max(CASE WHEN pos = 0 THEN p END) AS share FROM p GROUP BY 1)

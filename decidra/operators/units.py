@@ -103,21 +103,36 @@ _WORDS = {
     200_000: "two hundred milliseconds|zweihundert Millisekunden|deux cents millisecondes|doscientos milisegundos|两百毫秒|二百ミリ秒",
 }
 _BY_NAME = {v: q for q, names in NAMES.items() for n in names.split("|") for v in (n, n[0].upper() + n[1:], n.upper())}
-_NAME = re.compile("(?:" + "|".join(sorted(_BY_NAME, key=lambda n: (-len(n), n))) + ")(?![a-zà-ÿ])")
-_LATIN = re.compile(r"[A-Za-zÀ-ÿ]")
+
+
+def _by_first(names: list[str]) -> str:
+    """An alternation, the longest first, that branches on the first letter only once."""
+    firsts = sorted({n[0] for n in names})
+    return "|".join(f"{f}(?:{'|'.join(n[1:] for n in sorted(names, key=lambda n: (-len(n), n)) if n[0] == f)})" for f in firsts)
+
+
+_NAME = re.compile(rf"(?<![A-Za-zÀ-ÿ])(?:{_by_first(list(_BY_NAME))})(?![a-zà-ÿ])")
 _FILL = re.compile(r"[    ]*[)）]?[    ]*(?:stays at|is about|is|of|at|liegt bei|beträgt|est de|es de|为|は)?[    ]*[:=：]?[    ]*(?:ca\.|env\.|aprox\.|approx\.|about|约|約)?[    ]*")
 _NUMBER = re.compile(r"\d{1,3}(?:[    ]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,_'’]\d+)*|[.,]\d+")
 _SPACES, _NO_UNIT = frozenset(" \u00a0\u202f\u2009"), frozenset(["", *" .,;:|!?)）。，；、"])
 _END = r"(?![A-Za-zÀ-ÿµμ])"
+# The letters and marks that spellings of units begin with.
+_BEGINS = {"latency": "uµμmsåé微毫マミ分秒", "price": "¢cu$d美ド", "context": "tjトm万k千", "memory": "gmktb兆千", "quality": "%p‰/ovsf百パ", "throughput": "ktjmトt", "energy": "kmwj"}
 _SCALES = {q: [(n, d) for _, n, d in units] for q, units in UNITS.items()}
 _UNIT, _UNIT_ANY = ({q: re.compile("|".join(f"({p}){_END}" for p, _, _ in units), flags) for q, units in UNITS.items()} for flags in (0, re.I))
 _SECONDS = re.compile(r"[ \u00a0\u202f]?(\d+(?:[.,]\d+)?)[ \u00a0\u202f]?(?:seconds?|secs?|Sekunden?|Sek|secondes?|segundos?|s|秒)" + _END)
 _WORD = re.compile("|".join(f"(?P<w{v}>{p})" for v, p in sorted(_WORDS.items(), key=lambda x: -max(map(len, x[1].split("|"))))), re.I)
 
 
+_GROUPING = str.maketrans("", "", "_'’ \u00a0\u202f\u2009")
+_HEADER_END, _HEADER_VALUE = re.compile(r" ?[,;:、：)）]|\.[,;:)]|$"), re.compile(r"[:：] ?[\d.,$]")
+
+
 def parse_number(text: str, mark: str) -> tuple[int, int] | None:
     """(mantissa, decimals) of a number written with the decimal mark ``mark``; None if it can't be read."""
-    s = re.sub(r"[_'’ \u00a0\u202f\u2009]", "", text)
+    s = text.translate(_GROUPING)
+    if s.isdigit():
+        return int(s), 0
     other = "," if mark == "." else "."
     if other in s:
         parts = s.split(mark)[0].split(other)
@@ -140,7 +155,9 @@ def _unit_at(text: str, quantity: str, at: int) -> tuple[int, int, int] | None:
         at += 1
     if text[at : at + 1] in _NO_UNIT:
         return None
-    m = _UNIT[quantity].match(text, at) or _UNIT_ANY[quantity].match(text, at)
+    m = _UNIT[quantity].match(text, at)
+    if m is None and text[at].lower() in _BEGINS[quantity]:
+        m = _UNIT_ANY[quantity].match(text, at)
     return (*_SCALES[quantity][m.lastindex - 1], m.end()) if m else None
 
 
@@ -161,17 +178,22 @@ def read_measurements(text: str, mark: str, declared: str = "") -> list[tuple[st
     stated: dict[str, tuple[int, int]] = {}
     for m in _NAME.finditer(text):
         quantity, at, start = _BY_NAME[m[0]], m.end(), None
-        if m.start() and _LATIN.match(text, m.start() - 1):
-            continue
-        if text[max(0, m.start() - 5) : m.start()].rstrip().endswith("its") and (w := text.rfind("With ", 0, m.start())) >= 0:
+        if text.endswith("its ", 0, m.start()) and (w := text.rfind("With ", 0, m.start())) >= 0:
             at, start = w + 5, w + 5
         dollar = text[at : at + 1] == "$"
         if start is None:
-            header = _unit_at(text, quantity, at) if text[at : at + 1] in (" ", "\u00a0") else None
-            if header and re.match(r" ?[,;:、：)）]|\.[,;:)]|$", text[header[2] :]) and not re.match(r"[:：] ?[\d.,$]", text[header[2] :]):
+            begins = text[at : at + 1] in (" ", "\u00a0") and not text[at + 1 : at + 2].isdigit()
+            header = _unit_at(text, quantity, at) if begins else None
+            if header and _HEADER_END.match(text, header[2]) and not _HEADER_VALUE.match(text, header[2]):
                 stated.setdefault(quantity, header[:2])
                 continue
-            at = _FILL.match(text, at).end()
+            gap = text[at : at + 3]
+            if gap[1:2].isdigit() and gap[0] in " =":
+                at += 1
+            elif gap[2:].isdigit() and gap[:2] == ": ":
+                at += 2
+            else:
+                at = _FILL.match(text, at).end()
             dollar = text[at : at + 1] == "$"
         at += dollar
         number = _NUMBER.match(text, at)

@@ -13,8 +13,11 @@ the rows whose label the first one contradicts. Everything else is computed over
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +78,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % FEATURES for g in sorted(grams)]
 
 
+_features = lru_cache(maxsize=200_000)(features)
+#: The scored tokens of the last model a Python worker saw, kept from task to task.
+_KEPT: dict[str, "Model"] = {}
+
+
 class Model:
     """Bit weights per feature; tokens are scored once and kept."""
 
@@ -94,7 +102,7 @@ class Model:
                 k = self.known.get(w)
                 if k is None:
                     k = self.known[w] = len(self.rows)
-                    f = features(w)
+                    f = _features(w)
                     self.rows.append(self.weights[f].mean(axis=0) * min(4, len(f) ** 0.5))
                 ids.append(k)
         table = np.array(self.rows, dtype=np.float32).reshape(len(self.rows), -1)
@@ -107,22 +115,20 @@ class Model:
 
     def scores(self, sentences: list[list[str]]) -> np.ndarray:
         """Minus the loss of each language's codeword: the logistic loss of the margins, so that sure bits weigh most."""
-        m = self.margins(sentences)
-        bits = self.words.shape[1]
-        loss = np.logaddexp(0, -m[:, None, :] * self.words[None, :, :]).sum(axis=2) * (4.0 / bits)
-        return -loss
+        m = self.margins(sentences).astype(np.float64)
+        plus, minus = (self.words > 0).astype(float), (self.words < 0).astype(float)
+        return -(np.logaddexp(0, -m) @ plus.T + np.logaddexp(0, m) @ minus.T) * (4.0 / self.words.shape[1])
 
 
-def fit(texts: list[str], labels: list[int], languages: int = len(LANGUAGES)) -> Model:
-    """Counts per language, then per bit the log odds of each feature between its two groups of languages."""
+def fit(texts: list[list[str]], labels: list[int], languages: int = len(LANGUAGES)) -> Model:
+    """Counts of the tokens' features per language, then per bit the log odds of each feature between its two groups of languages."""
     counts = np.zeros((languages, FEATURES), dtype=np.float64)
-    cache: dict[str, list[int]] = {}
+    by_label: dict[int, Counter] = {}
     for text, label in zip(texts, labels):
-        for w in tokens(text):
-            f = cache.get(w)
-            if f is None:
-                f = cache[w] = features(w)
-            np.add.at(counts[label], f, 1.0)
+        by_label.setdefault(label, Counter()).update(text)
+    for label, words in by_label.items():
+        for w, n in words.items():
+            np.add.at(counts[label], _features(w), float(n))
     share = (counts + 0.02) / (counts.sum(axis=1, keepdims=True) + 0.02 * FEATURES)
     present = counts.sum(axis=1) > 0
     share[~present] = 0.02 / FEATURES
@@ -168,18 +174,21 @@ def segments(df: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows
     share = min(1.0, fit_rows / max(1, df.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     sample = rows.where(chosen & (F.length("text") > 40)).select("label", F.substring("text", 1, 2000).alias("text")).limit(2 * fit_rows).collect()
-    labelled = [(r.text, LANGUAGES.index(c)) for r in sample if (c := code_of(r.label))]
+    labelled = [(tokens(r.text), LANGUAGES.index(c)) for r in sample if (c := code_of(r.label))]
     if not labelled:
         return df.sparkSession.createDataFrame([], SEGMENTS)
     model = fit([t for t, _ in labelled], [k for _, k in labelled])
     for _ in range(2):  # leave out wrong labels and mixed texts
-        guess = model.scores([tokens(t) for t, _ in labelled])
+        guess = model.scores([t for t, _ in labelled])
         kept = [(t, k) for (t, k), g in zip(labelled, guess) if int(np.argmax(g)) == k]
         model = fit([t for t, _ in kept], [k for _, k in kept])
-    weights, words = model.weights, model.words
+    weights, words, name = model.weights, model.words, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(weights, words)
+        if name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[name] = Model(weights, words)
+        own = _KEPT[name]
         for batch in batches:
             out: list[tuple] = []
             ids, labels, texts, ends = (batch.column(k).to_pylist() for k in range(4))

@@ -11,9 +11,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,11 +179,20 @@ def detect(df: DataFrame, text_col: str, key: bytes = b"decidra", given: tuple[s
     """
     names = [*GIVEN_F.split(), *GIVEN_M.split(), *given]
 
-    @F.pandas_udf(ENTITIES)  # type: ignore[call-overload]
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        patterns = name_patterns(names)
-        for texts in batches:
-            yield pd.Series([None if t is None else [{"kind": k, "start": a, "end": b, "text": t[a:b], "entity": canonical(k, t[a:b]), "surrogate": surrogate(k, t[a:b], key)} for a, b, k in find(t, *patterns)] for t in texts])
+    patterns = name_patterns(names)
+
+    @F.arrow_udf(ENTITIES)  # type: ignore[attr-defined]
+    def run(texts: pa.Array) -> pa.Array:
+        rows, offsets, missing = [], [0], []
+        for t in texts.to_pylist():
+            if t is not None:
+                rows += [(k, a, b, t[a:b], canonical(k, t[a:b]), surrogate(k, t[a:b], key)) for a, b, k in find(t, *patterns)]
+            offsets.append(len(rows))
+            missing.append(t is None)
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        each = pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "start", "end", "text", "entity", "surrogate"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each, mask=pa.array(missing))
 
     return df.withColumn(out_col, run(F.col(f"`{text_col}`")))
 

@@ -15,11 +15,11 @@ from decidra.session import unique_name
 
 # Private-use placeholders. Marks of one kind become one range, so that the patterns stay simple.
 DOT, STOP, MARK = "\ue000", "\ue001", "\ue0ff"
-_TERMS, _OPENERS, _CLOSERS, _SPACES = "。！？।؟…", "“„«「『(（[", "”»」』)）]", "\t\r\u00a0\u2009\u202f\u3000\x0b\x0c"
+_TERMS, _OPENERS, _CLOSERS, _SPACES = "。！？।؟…", "“„«「『（", "”»」』）", "\u00a0\u2009\u202f\u3000"
 _FROM = _TERMS + _OPENERS + _CLOSERS + _SPACES + MARK
 _TO = "".join(chr(k + i) for k, marks in ((0xE010, _TERMS), (0xE020, _OPENERS), (0xE030, _CLOSERS)) for i in range(len(marks))) + " " * len(_SPACES) + STOP
 _WIDE, _ELLIPSIS = "\ue010-\ue013", "\ue015"
-_TERM, _OPEN, _CLOSE, _WS = ".!?\ue010-\ue015", "\ue020-\ue027", "\ue030-\ue036\ue020", " \\n"  # “ closes in German
+_TERM, _OPEN, _CLOSE, _WS = ".!?\ue010-\ue015", r"(\[" + "\ue020-\ue025", r")\]" + "\ue030-\ue034\ue020", r" \n\t\r"  # “ closes in German
 
 # Abbreviations after which a sentence goes on, whatever follows.
 ABBREVIATIONS = (
@@ -30,7 +30,7 @@ ABBREVIATIONS = (
     "ред ст пр просп"
 )
 # Abbreviations after which a sentence goes on if a number or a lower-case word follows.
-UNIT_ABBREVIATIONS = "Mio Mrd Tsd str Str Strasse sec min Sek Min Inc Ltd Co Corp etc ecc bl Rd Ave St Ln Blvd Sq"
+UNIT_ABBREVIATIONS = "Mio Mrd Tsd str Str sec min Sek Min Inc Ltd Co Corp etc ecc bl Rd Ave St Ln Blvd Sq"
 # Months that follow an ordinal written with a point.
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
 
@@ -49,34 +49,31 @@ def _points() -> str:
     """The points that end no sentence, each matched by itself, so that the text is scanned for points only."""
     ws, abbr, units, numbers = f"[{_WS}]", _words(ABBREVIATIONS), _words(UNIT_ABBREVIATIONS), _words(NUMBER_ABBREVIATIONS)
     word = r"(?<![\p{L}\p{N}])"
-    return r"\.(?:" + "|".join((
-        r"(?=\p{Nd})(?<![\p{L}]\.)",  # numbers, versions, hosts, times, ".231"
+    longer = _words(" ".join(w for w in ABBREVIATIONS.split() if len(w) > 4 and w[-5:].islower()))
+    return rf"\.(?![{_WS}]*+\z)" + r"(?:(?=\p{Nd})(?<!\p{L}\.)|" + rf"(?<={word}(?:{longer})\.)(?={ws}*[^{_WS}])|(?<=\p{{L}}[sS]tr\.)(?={ws}+[\p{{Ll}}\p{{Nd}}]|[,;)])" + r"|(?<!\p{Ll}{5}\.)(?:" + "|".join((  # most sentences end in a longer word: these points are passed over at once
         r"(?<=[@＠]\s?[\p{L}\p{N}.\-]{1,50}\.)(?=\p{L}{2})",  # the host of an address
         rf"(?<=(?:^|\n)[ \t]{{0,8}}\p{{Nd}}{{1,3}}\.)(?=[ \t])",  # the number of a list item
         rf"(?<={word}\p{{Nd}}{{1,2}}\.)(?={ws}+(?:{_words(MONTHS)})\b)",
         rf"(?<={word}(?:{abbr})\.)(?={ws}*[^{_WS}])",
         rf"(?<={word}(?:{numbers})\.)(?={ws}*(?:\p{{Nd}}|\p{{Lu}}{{1,2}}{ws}?\p{{Nd}}))",
-        rf"(?<=(?<!\p{{L}})(?:{units})\.|\p{{L}}[sS]tr\.)(?={ws}+[\p{{Ll}}\p{{Nd}}|]|{ws}+(?:[Tt]oken|[Jj]eton)|[,;)])",
+        rf"(?<=(?<!\p{{L}})(?:{units})\.)(?={ws}+[\p{{Ll}}\p{{Nd}}|]|{ws}+(?:[Tt]oken|[Jj]eton)|[,;)])",
         rf"(?<=(?:^|[\n(]|[(,;:\p{{L}}]{ws}{{1,2}}|\p{{Ll}}[.{DOT}]{ws}{{0,2}})\p{{Ll}}\.)(?={ws}?[\p{{L}}\p{{N}}°º])",  # "z. B.", "p. ex.", "i.e."
         rf"(?<={word}\p{{Lu}}\.)(?=\p{{Lu}}\.)",
         rf"(?<=(?:\p{{L}}{ws}{{1,2}}|^|\n|[,{_TERM}]{ws}{{1,2}})\p{{Lu}}\.)(?={ws}+\p{{Lu}})",  # initials
-    )) + ")"
+    )) + "))"
 
 
 #: Terminators inside quoted or bracketed speech, but for the last run before the closing mark.
 _SPEECH = (
-    rf"([{_OPEN}][^{_OPEN}{_CLOSE}{_TERM}]*+|(?!\A)\G[^{_OPEN}{_CLOSE}{_TERM}]*+)[{_TERM}](?![{_TERM}]*+ ?[{_CLOSE}])(?=(?:[^{_OPEN}{_CLOSE}\n]|\n(?! *\n)){{0,300}}[{_CLOSE}])"
+    rf"([{_OPEN}][^{_OPEN}{_CLOSE}{_TERM}]*+|(?!\A)\G[^{_OPEN}{_CLOSE}{_TERM}]*+)[{_TERM}](?![{_TERM}]*+ ?[{_CLOSE}])(?=(?:[^{_OPEN}{_CLOSE}\n]|\n(?![ \t\r]*\n)){{0,300}}[{_CLOSE}])"
 )
 _SPEECH_SINGLE = rf"(‘[^‘’{_TERM}\n]*+|(?!\A)\G[^‘’{_TERM}\n]*+)[{_TERM}](?![{_TERM}]*+ ?’)(?=[^‘’]{{0,300}}’)"
-#: (pattern, replacement), applied in turn; every replacement keeps the length.
-MASKS = ((_points(), DOT), (_SPEECH, "$1" + STOP))
-
 #: Behind each sentence a mark, by kind of script: the first alternative holds for all, the last ones for scripts without
 #: spaces or without case. An interjection with dots at the start of a sentence ("Well... ") ends none.
 TERMINATORS = (
-    rf"[{_TERM}]++(?<!(?:^|[\n\-*•{_TERM}{_CLOSE}][{_WS}]{{0,3}})\p{{Lu}}\p{{Ll}}{{1,7}}(?:\.\.\.|{_ELLIPSIS}))(?:"
+    rf"[{_TERM}]++(?:(?<!\.\.\.|{_ELLIPSIS})|(?<!(?:^|[\n\-*•{_TERM}{_CLOSE}][{_WS}]{{0,3}})\p{{Lu}}\p{{Ll}}{{1,7}}(?:\.\.\.|{_ELLIPSIS})))(?:"
     rf"(?=[{_WS}]++[^|,;:=\p{{Ll}}{_CLOSE}]|[{_WS}]*+\z)"
-    rf"| ?[{_CLOSE}’]++(?=[{_WS}]++[\p{{Lu}}\p{{Nd}}{_OPEN}•*¿¡+☎‘\-]|[{_WS}]*+\z| *+\n *+\n)"
+    rf"| ?[{_CLOSE}’]++(?=[{_WS}]++[\p{{Lu}}\p{{Nd}}{_OPEN}•*¿¡+☎‘\-]|[{_WS}]*+\z|[ \t\r]*+\n[ \t\r]*+\n)"
     rf"|(?<=\p{{L}}{{4}}[{_TERM}]{{1,6}})(?=[{_WS}]++\p{{Ll}})"
     rf"|(?<=[{_WIDE}])(?! ?[{_CLOSE}’])"
     rf"|(?<=\p{{IsArabic}}[{_TERM}]{{1,6}})(?=\p{{IsArabic}})"
@@ -88,20 +85,23 @@ THAI_SPEECH = rf"([{_OPEN}][^{_OPEN}{_CLOSE} \n]*+|(?!\A)\G[^{_OPEN}{_CLOSE} \n]
 THAI = rf"(?<=[\p{{IsThai}}\p{{Nd}}{_CLOSE}])(?= ++\p{{IsThai}})"
 #: Lines that end a sentence: blank lines, a colon, list items, and the lines of a closing block without marks.
 LINES = (
-    rf" *+\n(?: *+\n|(?<=[:：] {{0,3}}\n)|(?= *+(?:[-*•]|\d{{1,3}}\)|\d{{1,3}}{DOT}) )"
-    rf"|(?=[\p{{Lu}}\p{{N}}+(\ue025☎]|[^\n]{{0,60}}(?:[@＠]|\ue025at\ue034|\ue027at\ue036| at ))(?=[^\n{MARK}]{{1,90}}(?:\n[^\n{MARK}]{{1,90}}){{0,7}}{MARK}?\z))"
+    r"\n(?:[ \t\r]*+\n|(?<=[:：][ \t\r]{0,3}\n)"
+    rf"|(?=[ \t]*+(?:[-*•]|\d{{1,3}}\)|\d{{1,3}}{DOT})[ \t])"
+    rf"|(?=[\p{{Lu}}\p{{N}}+(☎]|[^\n]{{0,60}}(?:[@＠]|\(at\)|\[at\]| at ))(?=[^\n{MARK}]{{1,90}}(?:\n[^\n{MARK}]{{1,90}}){{0,7}}{MARK}?\z))"
 )
 _BLANKS = " \t\r\n\u00a0\u202f\u2009\u3000\x0b\x0c"
 
 
 def marked(text: Column) -> Column:
     """The masked text, of the same length in code points, with a mark behind each sentence."""
-    out = F.rtrim(F.translate(text, _FROM, _TO), F.lit(" \n"))
-    for pattern, replacement in MASKS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
-    rare = F.regexp_replace(out, F.lit(_SPEECH_SINGLE), F.lit("$1" + STOP))
-    rare = F.regexp_replace(F.regexp_replace(rare, F.lit(THAI_SPEECH), F.lit("$1" + STOP)), F.lit(THAI), F.lit(MARK))
-    out = F.when(text.rlike(r"[‘\u0e01-\u0e5b]"), rare).otherwise(out)
+    plain = F.octet_length(text) == F.length(text)  # the marks that are translated are not ASCII
+    out = F.rtrim(F.when(plain, text).otherwise(F.translate(text, _FROM, _TO)), F.lit(" \n\t\r"))
+    out = F.regexp_replace(out, F.lit(_points()), F.lit(DOT))
+    rare = out
+    for pattern, replacement in ((_SPEECH, "$1" + STOP), (_SPEECH_SINGLE, "$1" + STOP), (THAI_SPEECH, "$1" + STOP), (THAI, MARK)):
+        rare = F.regexp_replace(rare, F.lit(pattern), F.lit(replacement))
+    special = F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")) | (~plain & text.rlike(rf"[‘{_OPENERS}\u0e01-\u0e5b]"))
+    out = F.when(special, rare).otherwise(out)
     return F.regexp_replace(F.regexp_replace(out, F.lit(TERMINATORS), F.lit("$0" + MARK)), F.lit(LINES), F.lit(MARK + "$0"))
 
 
@@ -114,9 +114,8 @@ def sentence_ends(text: Column) -> Column:
     start = F.struct(F.expr("cast(array() as array<int>)").alias("ends"), F.lit(0).alias("at"))
 
     def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.length(piece)
-        blank = F.length(F.trim(piece, F.lit(" \n"))) == 0
-        return F.struct(F.when(blank, acc["ends"]).otherwise(F.concat(acc["ends"], F.array(at))).alias("ends"), at.alias("at"))
+        held = F.length(F.rtrim(piece, F.lit(" \n\t\r")))
+        return F.struct(F.when(held == 0, acc["ends"]).otherwise(F.concat(acc["ends"], F.array(acc["at"] + held))).alias("ends"), (acc["at"] + F.length(piece)).alias("at"))
 
     return F.when(text.isNotNull(), F.aggregate(pieces, start, step, lambda acc: acc["ends"]))
 

@@ -32,10 +32,12 @@ from pyspark.sql import types as T
 
 from decidra.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
 
-COLORS, SEGMENTS = 3, 7
+COLORS, SEGMENTS = 4, 9
 #: Words of more than this share of the rows count as frequent; a row of w words on average allows w / share of them.
 FREQUENT_SHARE = 0.005
 FREQUENT_LIMIT = 200_000
+#: Most keys of rows without the bound that are sent to every task.
+WEAK_LIMIT = 500_000
 _TAG, _WORD = re.compile(r"<[^<>]{0,200}>"), re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt\"'\\/]")
 
@@ -117,6 +119,20 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
+#: With the length and a parity signature of the words, by which pairs that differ too much are dropped before any shuffle.
+SIGNED = T.StructType([*KEYS, T.StructField("n", T.IntegerType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType())])
+
+
+#: With a parity signature of the frequent words alone: a pair that the rare words do not bring together has less than SEGMENTS edits there.
+MARKED = T.StructType([*KEYS, T.StructField("s0", T.LongType())])
+
+
+def _signature(row: np.ndarray, codes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits per row: a word more or less flips one of them, so the bits that differ are at most the edits."""
+    bit = (_mix(codes + (1 << 32)) >> np.uint64(40)) % np.uint64(128)
+    counts = np.bincount(row * 128 + bit.astype(np.int64), minlength=rows * 128).reshape(rows, 128) & 1
+    packed = np.ascontiguousarray(np.packbits(counts.astype(np.uint8), axis=1)).view(np.int64)
+    return packed[:, 0], packed[:, 1]
 
 
 def _flat(batch: pa.RecordBatch, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,51 +178,103 @@ def _occurrences(row: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.nda
     return r, _mix((c + (1 << 32)).astype(np.uint64) * np.uint64(1_000_003) + (np.arange(len(r)) - start).astype(np.uint64)), order
 
 
-def _segment_keys(frequent: np.ndarray):
+def _dealt(ranks: np.ndarray) -> np.ndarray:
+    """The segment of each frequent word: words are dealt in the order of frequency, to and fro, so that no segment has only frequent ones."""
+    turn = np.arange(len(ranks)) % (2 * SEGMENTS)
+    segment = np.empty(len(ranks), dtype=np.int64)
+    segment[np.argsort(-ranks, kind="stable")] = np.where(turn < SEGMENTS, turn, 2 * SEGMENTS - 1 - turn)
+    return segment
+
+
+def _rare_keys(frequent: np.ndarray):
+    """Keys of all pairs of rare words that lie in one rare segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             row, codes, common, ids, lengths = _flat(batch, frequent)
-            use = _first_rows(row, codes, lengths, seen)
-            pick = use[row] & ~common
+            pick = _first_rows(row, codes, lengths, seen)[row] & ~common
             r, occ, _ = _occurrences(row[pick], codes[pick])
             color = (occ >> np.uint64(17)) % np.uint64(COLORS)
             order = np.lexsort((occ, color, r))
             r, occ, group = r[order], occ[order], (r[order] * COLORS + color[order].astype(np.int64))
-            keys, owners = [], []
             for gap in range(1, len(r)):
                 same = group[gap:] == group[:-gap]
                 if not same.any():
                     break
-                keys.append(_mix(occ[:-gap][same] * np.uint64(31) + occ[gap:][same]))
-                owners.append(ids[r[gap:][same]])
-            weak = _weak(row, common, lengths)
-            pick = use[row] & common & ~weak[row]
-            if pick.any():
-                mixed = _mix(codes[pick] + (1 << 32))
-                segment = row[pick] * SEGMENTS + ((mixed >> np.uint64(9)) % np.uint64(SEGMENTS)).astype(np.int64)
-                order = np.argsort(segment, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(segment[order]) != 0])
-                whole = np.add.reduceat(mixed[order], starts)
-                which = segment[order][starts]
-                keys.append(_mix(whole + np.uint64(77) + (which % SEGMENTS).astype(np.uint64)))
-                owners.append(ids[which // SEGMENTS])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "id"])
+                keys = _mix(occ[:-gap][same] * np.uint64(31) + occ[gap:][same])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[r[gap:][same]])], names=["key", "id"])
 
     return run
 
 
-def _prefix_keys(frequent: np.ndarray, ranks: np.ndarray, only_weak: bool):
-    """Keys of the rarest words of each row, one more than may be missing."""
+def _frequent_keys(frequent: np.ndarray, ranks: np.ndarray):
+    """Keys of the segments of frequent words, each as a whole."""
+    segment_of = _dealt(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             row, codes, common, ids, lengths = _flat(batch, frequent)
+            pick = _first_rows(row, codes, lengths, seen)[row] & common & ~_weak(row, common, lengths)[row]
+            if not pick.any():
+                continue
+            mixed = _mix(codes[pick] + (1 << 32))
+            bits = np.bincount(row[pick] * 64 + ((mixed >> np.uint64(33)) % np.uint64(64)).astype(np.int64), minlength=len(lengths) * 64).reshape(-1, 64) & 1
+            s0 = np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1)).view(np.int64)[:, 0]
+            segment = row[pick] * SEGMENTS + segment_of[np.searchsorted(frequent, codes[pick])]
+            order = np.argsort(segment, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(segment[order]) != 0])
+            which = segment[order][starts]
+            own = which // SEGMENTS
+            # a segment without words is one of the nine as well
+            full = np.unique(own)
+            empty = np.setdiff1d((full[:, None] * SEGMENTS + np.arange(SEGMENTS)).ravel(), which)
+            whole = np.r_[np.add.reduceat(mixed[order], starts), np.zeros(len(empty), dtype=np.uint64)]
+            which, own = np.r_[which, empty], np.r_[own, empty // SEGMENTS]
+            keys = _mix(whole + np.uint64(77) + (which % SEGMENTS).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own]), pa.array(s0[own])], names=MARKED.names)
+
+    return run
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and signature of each row, under its id as the key."""
+    none = np.empty(0, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            row, codes, _, ids, lengths = _flat(batch, none)
+            s0, s1 = _signature(row, codes, len(lengths))
+            columns = [pa.array(ids), pa.array(ids), pa.array(lengths.astype(np.int32)), pa.array(s0), pa.array(s1)]
+            yield pa.RecordBatch.from_arrays(columns, names=SIGNED.names)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the words of a partition."""
+    sums: dict[int, int] = {}
+    for batch in batches:
+        codes, n = np.unique(batch.column(batch.schema.get_field_index("tokens")).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        for c, k in zip(codes.tolist(), n.tolist()):
+            sums[c] = sums.get(c, 0) + k
+        if len(sums) > 1_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["code", "n"])
+            sums = {}
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["code", "n"])
+
+
+def _prefix_keys(frequent: np.ndarray, ranks: np.ndarray, only_weak: bool, wanted: np.ndarray | None = None):
+    """Keys of the rarest words of each row, one more than may be missing; of these only the ``wanted`` ones, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            row, codes, common, ids, lengths = _flat(batch, frequent)
+            s0, s1 = _signature(row, codes, len(lengths))
             if only_weak:
                 weak = _weak(row, common, lengths)
                 if not weak.any():
@@ -220,11 +288,29 @@ def _prefix_keys(frequent: np.ndarray, ranks: np.ndarray, only_weak: bool):
             begin = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], np.arange(len(r)), 0))
             spare = lengths - -(-lengths * 8 // 10)
             keep = (np.arange(len(r)) - begin) <= spare[r]
-            yield pa.RecordBatch.from_arrays([pa.array(occ[keep].view(np.int64)), pa.array(ids[r[keep]])], names=["key", "id"])
+            if wanted is not None:
+                keep &= np.isin(occ, wanted)
+            own = r[keep]
+            columns = [pa.array(occ[keep].view(np.int64)), pa.array(ids[own]), pa.array(lengths[own].astype(np.int32)), pa.array(s0[own]), pa.array(s1[own])]
+            yield pa.RecordBatch.from_arrays(columns, names=SIGNED.names)
 
     return run
 
 
+def _room(t: str, h: str):
+    """Whether lengths and signatures of two rows leave room for the overlap."""
+    n, m = F.col(f"{t}.n"), F.col(f"{h}.n")
+    least = F.ceil(F.greatest(n, m) * 8 / 10)
+    differ = F.bit_count(F.col(f"{t}.s0").bitwiseXOR(F.col(f"{h}.s0"))) + F.bit_count(F.col(f"{t}.s1").bitwiseXOR(F.col(f"{h}.s1")))
+    return (F.least(n, m) >= least) & (differ <= n + m - 2 * least)
+
+
+def _near(left: DataFrame, right: DataFrame, room) -> DataFrame:
+    """Pairs with a common key that leave room for the overlap."""
+    met = (F.col("t.key") == F.col("h.key")) & room
+    return left.alias("t").join(right.alias("h"), met).select(F.col("t.id").alias("train_id"), F.col("h.id").alias("held_out_id"))
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sorted_a, sorted_b = [sorted(words(t)) for t in pdf["text_a"]], [sorted(words(t)) for t in pdf["text_b"]]
@@ -244,10 +330,10 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, held_out) ->
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text")).where("id is not null and held_out is not null and text is not null")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/overlap-{uuid.uuid4().hex}"
-    rows.mapInArrow(_tokenise, TOKENS).write.parquet(path)
+    rows.mapInArrow(_tokenise, TOKENS).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.parquet(path)
     total = tokens.count()
-    counts = tokens.select(F.explode("tokens").alias("code")).groupBy("code").count().where(F.col("count") > max(3.0, FREQUENT_SHARE * total))
+    counts = tokens.select("tokens").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("count")).where(F.col("count") > max(3.0, FREQUENT_SHARE * total))
     listed = counts.orderBy("code").limit(FREQUENT_LIMIT).toArrow()
     codes = np.asarray(listed.column("code")).astype(np.int64)
     ranks = np.asarray(listed.column("count")).astype(np.int64)
@@ -258,11 +344,23 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, held_out) ->
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.withColumnRenamed("id", "train_id").join(right.withColumnRenamed("id", "held_out_id"), "key").select("train_id", "held_out_id")
 
-    by_segment = joined(train.mapInArrow(_segment_keys(codes), KEYS), kept.mapInArrow(_segment_keys(codes), KEYS).hint("shuffle_hash"))
-    weak_train = bounded_broadcast(cut_lineage(train.mapInArrow(_prefix_keys(codes, ranks, True), KEYS)), 500_000)
-    weak_kept = bounded_broadcast(cut_lineage(kept.mapInArrow(_prefix_keys(codes, ranks, True), KEYS)), 500_000)
-    by_prefix = joined(train.mapInArrow(_prefix_keys(codes, ranks, False), KEYS), weak_kept).unionAll(joined(weak_train, kept.mapInArrow(_prefix_keys(codes, ranks, False), KEYS)))
-    pairs = cut_lineage(by_segment.unionAll(by_prefix).distinct())
+    by_rare = joined(train.mapInArrow(_rare_keys(codes), KEYS), kept.mapInArrow(_rare_keys(codes), KEYS).hint("shuffle_hash"))
+    by_frequent = _near(train.mapInArrow(_frequent_keys(codes, ranks), MARKED), kept.mapInArrow(_frequent_keys(codes, ranks), MARKED).hint("shuffle_hash"), F.bit_count(F.col("t.s0").bitwiseXOR(F.col("h.s0"))) < SEGMENTS)
+    by_prefix = None
+    for weak_side, whole_side, flipped in ((train, kept, False), (kept, train, True)):
+        weak = cut_lineage(weak_side.mapInArrow(_prefix_keys(codes, ranks, True), SIGNED))
+        # few rows are of this kind: if their keys are within a bound, the other side drops all others before it leaves Python
+        few = weak.select("key").distinct().limit(WEAK_LIMIT + 1).toArrow().column("key").to_numpy().view(np.uint64)
+        wanted = few if len(few) <= WEAK_LIMIT else None
+        whole = whole_side.mapInArrow(_prefix_keys(codes, ranks, False, wanted), SIGNED)
+        weak = F.broadcast(weak) if wanted is not None and weak.count() <= WEAK_LIMIT else weak
+        found = _near(whole, weak, _room("t", "h")) if flipped else _near(weak, whole, _room("t", "h"))
+        by_prefix = found if by_prefix is None else by_prefix.unionAll(found)
+    pairs = by_rare.unionAll(by_frequent).unionAll(by_prefix).distinct()
+    # chance meetings of two rare words leave here, before any text is moved
+    signed = lambda side, name: side.mapInArrow(_signatures, SIGNED).alias(name)
+    met = pairs.alias("p").join(signed(train, "t"), F.col("p.train_id") == F.col("t.id")).join(signed(kept, "h"), (F.col("p.held_out_id") == F.col("h.id")) & _room("t", "h"))
+    pairs = cut_lineage(met.select("p.train_id", "p.held_out_id"))
     # copies that were left out above: all rows with the canonical string of one that was found
     texts = _with_copies(rows, tokens, pairs)
     return texts

@@ -4,8 +4,8 @@ A passage that counts as a repeat has at most one deviating unit in eight, so it
 runs of an item are its shingles, ordered by their counts over all documents. Half of an item in passages holds at least
 ``least_hits`` of its shingles, so all but the ``least_hits - 1`` most common ones are the necessary prefix: a document
 without a shingle of the prefix, or with fewer hits in all, is dropped (prefix and length bound). Hits that lie further
-apart than a passage allows do not count together (positional bound). What is left is verified exactly: hits are extended
-to passages along the item within a window of the item's size, and the repeated units are counted.
+apart than a passage allows do not count together (positional bound). What is left is verified exactly: the best alignments
+through each equal unit around the hits decide whether it lies in a passage, and the repeated units are counted.
 The items are a bounded list, sent to every task; documents are read whole, once for the counts and once for the join,
 and never shuffled.
 """
@@ -68,117 +68,120 @@ def shingles(codes: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def passages(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], run: int, least: int) -> np.ndarray:
-    """Which units of the item are repeated in passages of ``least`` units with at most one in eight deviating.
+def covered(pairs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], least: int) -> list[np.ndarray]:
+    """For (document, item, hits): which units of the item lie, equal, in any passage of the document.
 
-    Runs of equal units are joined along the item if few units of item or document lie between them. Each maximal chain
-    is cut back from its ends until it keeps to the bound; what remains counts if it is long enough.
+    A passage is an alignment of a stretch of the item with one of the document that begins and ends with equal units, has
+    ``least`` columns or more, and of which at most one in eight is a changed, inserted or left out unit. Passages may
+    overlap. With +1 for an equal and -7 for a deviating column the bound is a sum of at least 0, so an equal unit
+    counts if the best sums before and behind it do, over all lengths that add up. As every passage holds a hit, and has
+    at most a seventh of the item deviating, only the diagonals that near to a hit are searched.
     """
-    covered = np.zeros(len(item), dtype=bool)
-    runs: list[tuple[int, int, int]] = []  # start in item, start in document, length
-    for i, d in sorted(set(hits)):
-        if any(a - b == i - d and a <= i < a + n for a, b, n in runs):
-            continue
-        n = run
-        while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n]:
-            n += 1
-        while i > 0 and d > 0 and item[i - 1] == doc[d - 1]:
-            i, d, n = i - 1, d - 1, n + 1
-        runs.append((i, d, n))
-    runs = sorted(set(runs))
-    used = [False] * len(runs)
-    for s in range(len(runs)):
-        if used[s]:
-            continue
-        chain, used[s] = [runs[s]], True
-        while True:
-            a, b, n = chain[-1]
-            best = None
-            for k in range(len(runs)):
-                i, d, m = runs[k]
-                gap_i, gap_d = i - (a + n), d - (b + n)
-                if not used[k] and -2 <= gap_i <= 12 and -2 <= gap_d <= 12 and i > a and d > b and (best is None or max(gap_i, gap_d) < best[0]):
-                    best = (max(gap_i, gap_d), k)
-            if best is None:
-                break
-            used[best[1]] = True
-            chain.append(runs[best[1]])
-        # short equal stretches between runs count as equal: align the gap position by position from its left
-        flags_i, pos = [], []
-        last_i, last_d = chain[0][0], chain[0][1]
-        for i, d, n in chain:
-            gap_i, gap_d = i - last_i, d - last_d
-            if gap_i < 0 or gap_d < 0:
-                cut = max(-gap_i, -gap_d)
-                i, d, n = i + cut, d + cut, n - cut
-                gap_i, gap_d = i - last_i, d - last_d
-            same = _aligned(item[last_i:i], doc[last_d:d])
-            for k in range(gap_i):
-                flags_i.append(0 if same[k] else 1)
-                pos.append(last_i + k)
-            extra = max(0, gap_d - gap_i)
-            if extra and flags_i:
-                flags_i[-1] += extra
-            elif extra:
-                flags_i.append(extra)
-                pos.append(max(0, last_i - 1))
-            flags_i.extend([0] * n)
-            pos.extend(range(i, i + n))
-            last_i, last_d = i + n, d + n
-        # grow over single deviating units at the ends
-        for a, b in _within(np.array(flags_i), least):
-            span = np.array(pos[a:b])
-            good = np.array(flags_i[a:b]) == 0
-            covered[span[good]] = True
-    return covered
-
-
-def _aligned(item: np.ndarray, doc: np.ndarray) -> list[bool]:
-    """Which units of a short stretch of the item occur in the document's stretch, in order."""
-    n, m = len(item), len(doc)
-    if not n or not m:
-        return [False] * n
-    best = np.zeros((n + 1, m + 1), dtype=int)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if item[i] == doc[j] else max(best[i + 1, j], best[i, j + 1])
-    out, i, j = [False] * n, 0, 0
-    while i < n and j < m:
-        if item[i] == doc[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out[i], i, j = True, i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    out = [np.zeros(len(item), dtype=bool) for _, item, _ in pairs]
+    jobs = []
+    for k, (_, item, hits) in enumerate(pairs):
+        reach, last = len(item) // (ONE_IN - 1), None
+        for diagonal in sorted({d - i for i, d in hits}):
+            if last is None or diagonal > last + reach:
+                last = diagonal
+                jobs.append((len(item), k, diagonal))
+    jobs.sort()
+    while jobs:
+        reach = jobs[-1][0] // (ONE_IN - 1)
+        part = jobs[-max(1, min(256, 4_000_000 // (3 * reach + 1) // max(least, jobs[-1][0] // 12))) :]
+        del jobs[-len(part) :]
+        _search([(k, pairs[k][0], pairs[k][1], diagonal) for _, k, diagonal in part], reach, least, out)
     return out
 
 
-def _within(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal stretches of at least ``least`` units in which at most one in eight deviates: scored, +1 and -7 a unit."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(flags))]
-    while todo:
-        a, b = todo.pop()
-        while a < b and flags[a]:
-            a += 1
-        while a < b and flags[b - 1]:
-            b -= 1
-        if b - a < least:
-            continue
-        part = flags[a:b]
-        if part.sum() * ONE_IN <= b - a:
-            out.append((a, b))
-            continue
-        score = np.r_[0, np.cumsum(np.where(part > 0, 1.0 - ONE_IN * part, 1.0))]
-        low = np.minimum.accumulate(score)
-        end = int(np.argmax(score - low))
-        start = int(np.argmin(score[: end + 1]))
-        if end - start >= least:
-            out.append((a + start, a + end))
-        if end <= start:
-            continue
-        todo += [(a, a + start), (a + end, b)]
-    return out
+def within_reach(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], run: int, least: int) -> tuple[int, list[tuple[int, int]]]:
+    """(no fewer units than ``covered`` finds, one hit of each run that may be in a passage).
+
+    A passage with d deviating units has at least 7 d - (run - 1) (d + 1) hits, all within d diagonals of each other; so
+    the hits around a run bound d, and with it the length. Of the units so near that have an equal unit so near, seven in
+    eight are needed from end to end of a passage.
+    """
+    n, pad = len(item), 3 * len(item)
+    pairs = np.array(hits)
+    places, diagonals = pairs[:, 0], pairs[:, 1] - pairs[:, 0]
+    order = np.lexsort((places, diagonals))
+    places, diagonals = places[order], diagonals[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(diagonals) != 0) | (np.diff(places) > 1)])
+    last = np.r_[first[1:], len(places)] - 1
+    reaches, longs = np.full(len(first), n // (ONE_IN - 1)), np.full(len(first), n + run)
+    apart = np.abs(diagonals - diagonals[first, None])
+    away = np.maximum(places[first, None] - places, places - places[last, None])
+    for _ in range(4):  # any number of rounds is right, more are closer
+        near = ((apart <= reaches[:, None]) & (away <= longs[:, None])).sum(axis=1)
+        reaches = np.minimum(reaches, (near + run - 1) // (ONE_IN - run))
+        longs = np.minimum(longs, near + reaches + (run - 1) * (reaches + 1))
+    lows, highs = np.maximum(0, places[first] + run - longs), np.minimum(n, places[last] + longs)
+    edges = np.zeros(n + 1, dtype=int)
+    np.add.at(edges, lows, 1)
+    np.add.at(edges, highs, -1)
+    most = int((np.cumsum(edges) > 0).sum())
+    if 2 * most < n:
+        return most, []
+    own = np.concatenate([np.ones(pad, dtype=np.uint64), doc, np.ones(pad, dtype=np.uint64)])
+    seen, left = np.zeros(n, dtype=bool), []
+    for a, b, reach, low, high in zip(first.tolist(), last.tolist(), reaches.tolist(), lows.tolist(), highs.tolist()):
+        g, p, q = int(diagonals[a]), int(places[a]), int(places[b])
+        around = own[np.arange(pad + low + g - reach, pad + high + g - reach)[:, None] + np.arange(2 * reach + 1)]
+        same = (around == item[low:high, None]).any(axis=1)
+        sums = np.r_[0, np.cumsum(np.where(same, 1, 1 - ONE_IN))]
+        start = int(np.argmax(sums <= sums[q + run - low :].max()))
+        end = len(sums) - 1 - int(np.argmax(sums[::-1] >= sums[: p - low + 1].min()))
+        if end - start >= least - least // ONE_IN:
+            seen[low + start : low + end] |= same[start:end]
+            left.append((p, p + g))
+    return int(seen.sum()), left
+
+
+def _search(jobs: list[tuple[int, np.ndarray, np.ndarray, int]], reach: int, least: int, out: list[np.ndarray]) -> None:
+    """Marks what each job (pair, document, item, diagonal) finds from ``reach`` left of its diagonal to twice that right of it."""
+    n, wide = max(len(item) for _, _, item, _ in jobs), 3 * reach + 1
+    items, docs = np.zeros((n, len(jobs)), dtype=np.uint64), np.ones((n + wide - 1, len(jobs)), dtype=np.uint64)  # no code is 0 or 1
+    for p, (_, doc, item, diagonal) in enumerate(jobs):
+        items[: len(item), p] = item
+        a = diagonal - reach
+        own = doc[max(0, a) : max(0, a + n + wide - 1)]
+        docs[max(0, -a) : max(0, -a) + len(own), p] = own
+    equal = [docs[i : i + wide] == items[i] for i in range(n)]
+    before = list(_sums(equal, least))
+    behind = _sums([e[::-1] for e in reversed(equal)], least)
+    for i in range(n - 1, -1, -1):
+        sums = next(behind)
+        found = before.pop()
+        where, job = np.nonzero(equal[i])
+        order = np.argsort(-where, kind="stable")  # the order of the reversed rows
+        good = (found[order] + sums[:, ::-1]).max(axis=1, initial=0) > 0 if len(job) else np.zeros(0, dtype=bool)
+        for p in set(job[order][good].tolist()):
+            out[jobs[p][0]][i] = True
+
+
+def _sums(equal: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
+    """By row, for its equal cells: the best sums of alignments that end there with 1, 2, ... ``least`` columns or more."""
+    none = -10_000_000
+    kind = np.int32
+    if len(equal) < 8_000:
+        none, kind = -15_000, np.int16
+    wide, jobs = equal[0].shape
+    old = np.full((wide, least, jobs), none, dtype=kind)  # diagonal, columns, job
+    cost = kind(ONE_IN - 1)
+    for e in equal:
+        step = np.where(e, kind(1), -cost)
+        new = np.empty_like(old)
+        np.add(old[:, :-1], step[:, None], out=new[:, 1:])
+        new[:, 0] = np.where(e, np.maximum(old[:, 0], 0), old[:, 0]) + step
+        yield new.transpose(0, 2, 1)[e]
+        less = old[1:] - cost  # a unit of the item left out
+        np.maximum(new[:-1, 1:], less[:, :-1], out=new[:-1, 1:])
+        np.maximum(new[:-1, 0], less[:, 0], out=new[:-1, 0])
+        for k in range(1, wide):  # a unit inserted
+            less = new[k - 1] - cost
+            np.maximum(new[k, 1:], less[:-1], out=new[k, 1:])
+            np.maximum(new[k, 0], less[0], out=new[k, 0])
+        old = np.maximum(new, none)
 
 
 def least_hits(n: int, run: int, least: int) -> int:
@@ -241,18 +244,19 @@ class Items:
         size = np.diff(np.r_[first, len(pair)])
         in_prefix = np.add.reduceat(self.prefix[entry].astype(int), first)
         keep = (size >= self.lows_array[pair[first] % items_n]) & (in_prefix > 0)
-        out = []
+        kept, pairs = [], []
         for a, n in zip(first[keep], size[keep]):
             d, k = divmod(int(pair[a]), items_n)
             places = self.places[entry[a : a + n]]
             if len(np.unique(places)) < self.lows[k]:
                 continue
-            own = flat[starts[d] : starts[d + 1]]
-            hits = list(zip(places.tolist(), (at[a : a + n] - starts[d]).tolist()))
-            found = int(passages(own, self.codes[k], hits, self.run, self.least).sum())
-            if 2 * found >= len(self.codes[k]):
-                out.append((d, self.ids[k], found, len(self.codes[k])))
-        return out
+            own, hits = flat[starts[d] : starts[d + 1]], list(zip(places.tolist(), (at[a : a + n] - starts[d]).tolist()))
+            bound, hits = within_reach(own, self.codes[k], hits, self.run, self.least)
+            if 2 * bound >= len(self.codes[k]):
+                kept.append((d, k))
+                pairs.append((own, self.codes[k], hits))
+        found = [int(c.sum()) for c in covered(pairs, self.least)]
+        return [(d, self.ids[k], n, len(self.codes[k])) for (d, k), n in zip(kept, found) if 2 * n >= len(self.codes[k])]
 
 
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("repeated", T.IntegerType()), T.StructField("units", T.IntegerType())])

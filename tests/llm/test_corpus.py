@@ -69,6 +69,45 @@ def test_leaks(spark):
     assert leak(spark, texts) == {(0, 1): 20, (1, 1): 10, (3, 1): 19}
 
 
+def repeated(doc, item, least):
+    """The units of the item in passages, by a plain table: per cell and number of columns the best sum of +1 and -7."""
+
+    def table(a, b):
+        ends, cells = {}, {}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                new = collections.defaultdict(lambda: -(10**9))
+                if a[i] == b[j]:
+                    new[1] = 1
+                for n, v in cells.get((i - 1, j - 1), {}).items():
+                    new[min(n + 1, least)] = max(new[min(n + 1, least)], v + (1 if a[i] == b[j] else -7))
+                ends[i, j] = dict(new) if a[i] == b[j] else {}
+                for k in ((i - 1, j), (i, j - 1)):
+                    for n, v in cells.get(k, {}).items():
+                        new[min(n + 1, least)] = max(new[min(n + 1, least)], v - 7)
+                cells[i, j] = dict(new)
+        return ends
+
+    left, right = table(item, doc), table(item[::-1], doc[::-1])
+    found = set()
+    for (i, j), sums in left.items():
+        back = right[len(item) - 1 - i, len(doc) - 1 - j]
+        if any(n + m > least and v + w > 0 for n, v in sums.items() for m, w in back.items()):
+            found.add(i)
+    return len(found)
+
+
+def test_leaks_with_changes_near_the_ends_like_brute_force(spark):
+    w = ITEM.split()
+    assert leak(spark, [" ".join([*w[:5], "xx", *w[6:10]])], [(1, " ".join(w[:18]), "en")]) == {(0, 1): 9}
+    texts = []
+    for at in range(2, 7):
+        for kind in ([], ["xx"], ["xx", "yy"]):
+            texts += [" ".join(["q", *part[:k], *kind, *part[k + (len(kind) < 2) :], "z"]) for part in (w[:11], w[8:], w[4:15]) for k in (at - 1, len(part) - at)]
+    want = {(i, 1): n for i, t in enumerate(texts) if 2 * (n := repeated(t.split(), w, leakage.LEAST)) >= len(w)}
+    assert want and leak(spark, texts) == want
+
+
 def test_leaks_by_characters(spark):
     item = "这是一个用来检查泄漏的句子它必须足够长才能被识别出来谢谢大家的帮助"
     got = leak(spark, ["前面" + item[:22] + "后面", item[:15], item.replace("句", "词")], ((7, item, "zh"), (8, None, "zh"), (9, "短", "zh")))

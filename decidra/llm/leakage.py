@@ -185,8 +185,12 @@ def _sums(equal: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
 
 
 def least_hits(n: int, run: int, least: int) -> int:
-    """The fewest shingles that half of ``n`` units hold in passages of at least ``least`` units with one deviation in eight."""
-    need = (n + 1) // 2
+    """No more than the fewest shingles of half of ``n`` units in passages of ``least`` units or more with one deviation in eight.
+
+    Passages may overlap and share shingles. Of passages that cover a stretch enough can be chosen that no unit lies in
+    more than two, and these be dealt into two sets without overlaps: one of them covers half of what is needed.
+    """
+    need = ((n + 1) // 2 + 1) // 2
     fewest = [0] + [10**9] * (need + 2 * least)
     per = {size: max(1, size - run + 1 - run * (size // ONE_IN)) for size in range(least, need + 2 * least)}
     for total in range(1, len(fewest)):

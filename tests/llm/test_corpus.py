@@ -108,6 +108,23 @@ def test_leaks_with_changes_near_the_ends_like_brute_force(spark):
     assert want and leak(spark, texts) == want
 
 
+def marked(flags, words):
+    return " ".join(f"x{k}" if f else w for k, (f, w) in enumerate(zip(flags, words)))
+
+
+def test_leaks_in_overlapping_and_repeated_passages(spark):
+    words = [f"w{k}" for k in range(60)]
+    both = [0] * 12 + [1] + [0] * 5 + [1] * 9 + [0] * 5 + [1] + [0] * 12
+    assert leak(spark, [marked(both, words)], [(1, " ".join(words), "en")]) == {(0, 1): 34}
+    shared = [0] * 4 + [1] + [0] * 5 + [1] + [0] * 4  # two passages of ten with one run of five in common
+    assert leak(spark, [marked(shared, words)], [(1, " ".join(words[:26]), "en")]) == {(0, 1): 13}
+    phrase = [f"p{k}" for k in range(6)]
+    item = [*words[:6], *phrase, *words[6:12], *phrase, *words[12:18]]
+    texts = [" ".join([*words[:6], *phrase, "and", *phrase, *words[12:18]]), " ".join([*phrase, *words[6:12], "b", *phrase, "b", *words[:6], *phrase])]
+    want = {(i, 1): n for i, t in enumerate(texts) if 2 * (n := repeated(t.split(), item, leakage.LEAST)) >= len(item)}
+    assert len(want) == 2 and leak(spark, texts, [(1, " ".join(item), "en")]) == want
+
+
 def test_leaks_by_characters(spark):
     item = "这是一个用来检查泄漏的句子它必须足够长才能被识别出来谢谢大家的帮助"
     got = leak(spark, ["前面" + item[:22] + "后面", item[:15], item.replace("句", "词")], ((7, item, "zh"), (8, None, "zh"), (9, "短", "zh")))

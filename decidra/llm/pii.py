@@ -158,13 +158,14 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, female: frozen
                 ch = chr(65 + digest[k % 64] % 26)
             digits.append(ch)
         return "".join(digits)
+    more = "".join(_TAILS[digest[10 + k % 54] % 16] for k in range(2 * attempt))  # each attempt has more values than the one before
     if kind == "email":
-        return f"{made(0)}.{made(3)}{digest[9]}@example.org".lower()
+        return f"{made(0)}.{made(3)}{more}{digest[9]}@example.org".lower()
     if kind == "address":
-        return f"{digest[0] % 250 + 1} {made(1)} Street, {made(4)}"
+        return f"{digest[0] % 250 + 1} {made(1)}{more} Street, {made(4)}"
     first = canonical(kind, text).split(" ")[0]
     pool = GIVEN_F.split() if first in female else GIVEN_M.split()
-    name = f"{pool[digest[0] % len(pool)]} {made(1)}{_TAILS[digest[4] % 16]}"
+    name = f"{pool[digest[0] % len(pool)]} {made(1)}{_TAILS[digest[4] % 16]}{more}"
     return name.upper() if text.isupper() else name.lower() if text.islower() else name
 
 
@@ -201,7 +202,8 @@ def distinct_surrogates(found: DataFrame, key: bytes = b"decidra", out_col: str
     """The collision check: (kind, entity, surrogate) of all entities, with surrogates distinct between entities.
 
     Entities of which two have one surrogate are few; all but the first by canonical form are hashed again, with the
-    number of the attempt, until none collide. Only (kind, entity) pairs are shuffled, grouped before they are compared.
+    number of the attempt, until none collide; names, e-mail and street addresses grow with it. What still collides after
+    ``rounds`` raises an error: numbers keep their layout, which may have fewer values than entities. Only (kind, entity) pairs are shuffled, grouped before they are compared.
     """
     flat = found.select(F.explode(F.col(f"`{out_col}`")).alias("e"))
     kept = flat.groupBy(F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity")).agg(F.min("e.text").alias("text"), F.min("e.surrogate").alias("surrogate"))
@@ -214,25 +216,29 @@ def distinct_surrogates(found: DataFrame, key: bytes = b"decidra", out_col: str
         return run
 
     kept = cut_lineage(kept)
-    for attempt in range(1, rounds):
+    for attempt in range(1, rounds + 1):
         first = kept.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
         if first.isEmpty():
             break
+        if attempt == rounds:
+            raise ValueError(f"surrogates that still collide after {rounds} rounds: {first.limit(5).collect()}")
         clash = kept.alias("k").join(first.alias("f"), (F.col("k.kind") == F.col("f.kind")) & (F.lower("k.surrogate") == F.col("f.s")) & (F.col("k.entity") > F.col("f.first")), "left")
         kept = cut_lineage(clash.select("k.kind", "k.entity", "k.text", F.when(F.col("f.s").isNotNull(), again(attempt)(F.col("k.kind"), F.col("k.text"))).otherwise(F.col("k.surrogate")).alias("surrogate")))
     return kept.drop("text")
 
 
 def redact(found: DataFrame, text_col: str, entities_col: str = "entities", out_col: str = "redacted", surrogates: bool = False) -> DataFrame:
-    """Adds the text with each entity replaced by its typed placeholder ``[KIND_xxxxxxxx]`` or by its surrogate; all else is unchanged.
+    """Adds the text with each entity replaced by its typed placeholder ``[KIND_code]`` or by its surrogate; all else is unchanged.
 
-    The placeholder's code is a hash of the canonical form, so that coreference stays readable. Null texts stay null.
+    The placeholder's code is the whole SHA-256 of the canonical form: one entity has one code everywhere, and different
+    ones never share it in practice. The surrogates are those of ``entities_col``, which are not checked for collisions.
+    Null texts stay null.
     """
     text, entities = F.col(f"`{text_col}`"), F.col(f"`{entities_col}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, e):
-        mark = e["surrogate"] if surrogates else F.concat(F.lit("["), F.upper(e["kind"]), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", e["kind"], e["entity"]), 256), 1, 8), F.lit("]"))
+        mark = e["surrogate"] if surrogates else F.concat(F.lit("["), F.upper(e["kind"]), F.lit("_"), F.sha2(F.concat_ws("|", e["kind"], e["entity"]), 256), F.lit("]"))
         return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), mark).alias("out"), e["end"].alias("at"))
 
     whole = F.aggregate(entities, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

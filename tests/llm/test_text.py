@@ -122,5 +122,26 @@ def test_colliding_surrogates_part(spark, monkeypatch):
     assert kept["a b"] == "Same Name" != kept["c d"]
 
 
+def test_surrogates_that_cannot_part_raise(spark):
+    rows = [(1, [("phone", k, k + 1, f"{k}", f"{k}", "5") for k in range(10)] + [("phone", 20, 21, "1", "one more", "5")])]
+    with pytest.raises(ValueError):
+        pii.distinct_surrogates(spark.createDataFrame(rows, pii_schema()))
+    assert len(pii.surrogate("name", "A B", b"k", 3)) > len(pii.surrogate("name", "A B", b"k", 1))
+
+
+def test_placeholders_part_entities_with_equal_first_digits(spark):
+    import hashlib
+    seen, pair = {}, None
+    for k in range(10**6):
+        code = hashlib.sha256(f"name|e{k}".encode()).hexdigest()[:8]
+        if code in seen:
+            pair = (seen[code], f"e{k}")
+            break
+        seen[code] = f"e{k}"
+    rows = [(i, "A B", [("name", 0, 3, "A B", e, "S")]) for i, e in enumerate(pair)]
+    found = spark.createDataFrame(rows, pii_schema().replace("int, ", "int, state string, ", 1))
+    assert pii.redact(found, "state").select("redacted").distinct().count() == 2
+
+
 def pii_schema():
     return "id int, entities array<struct<kind:string,start:int,end:int,text:string,entity:string,surrogate:string>>"

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "decidra", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting, else a folder of our own (tests, local runs)."""
+    """The shared folder for checkpoints: the session's setting, else, with a local master only, a folder of our own."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -37,11 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return configured
     if not current:
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         current = tempfile.mkdtemp(prefix="decidra-checkpoint-")
         sc.setCheckpointDir(current)
     return current
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written to the shared folder, once its results are kept by checkpoints."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the growth of iterative plans."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -58,12 +67,16 @@ def unique_name(df: DataFrame, base: str) -> str:
     return name
 
 
-#: The most rows that are sent to every executor.
-BROADCAST_ROWS = 20_000
+#: The most rows, and the most bytes by their size so far, that are sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most so many rows, else as it is, for a join that shuffles."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most so many rows and bytes, else as it is, for a join that shuffles.
+
+    Bytes are those of strings and arrays as text, and 8 for each other column.
+    """
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    size = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= BROADCAST_BYTES else df

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from decidra.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
+from decidra.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir, remove_path
 
 #: Segments of rare words, and edits that are left for frequent ones where a pair shares no more rare words than that.
 COLORS, EDITS = 5, 10
@@ -477,19 +477,13 @@ def cross_split_classes(df: DataFrame, id_col: str, text_col: str, held_out) ->
     pairs = cut_lineage(both.where(_room(F.col("train_id.n"), F.col("held_out_id.n"), differ)).select("train_id", "held_out_id"))
     found = _verified_pairs(rows, pairs)
     members = cut_lineage(_members(tokens, found))
-    _remove(spark, path)
+    remove_path(spark, path)
     # ids of one class may differ between partitions: the least id of a class stands for all of them
     of = lambda which, name: members.where((F.col("side") == which) & F.col("named")).select(F.col("id").alias(name), F.col("class").alias(f"{name[:-3]}_class"))
     classes = found.join(of(TRAIN, "train_id"), "train_id").join(of(HELD_OUT, "held_out_id"), "held_out_id").select("train_class", "held_out_class", "shared", "longer").distinct()
     return classes, members.select("side", "class", "id")
 
 
-def _remove(spark, path: str) -> None:
-    """Deletes the table of word codes, whose results are kept by checkpoints."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _verified_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(train_id, held_out_id, shared, longer) of the pairs whose texts overlap."""
     ids = pairs.select(F.col("train_id").alias("id")).unionAll(pairs.select(F.col("held_out_id").alias("id"))).distinct()

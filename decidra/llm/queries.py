@@ -74,18 +74,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return once.select("origin", "record_id", F.explode("ends").alias("end_pos"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang")
+def _leaks(spark: SparkSession, d: str, count: bool) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang", count)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items they repeat."""
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return _leaks(spark, d, False).select("doc_id", "item_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Per item: the documents that repeat it, and the largest share of it that one repeats."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.col("repeated") / F.col("units")).alias("largest_share"))
+    return _leaks(spark, d, True).groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.col("repeated") / F.col("units")).alias("largest_share"))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ sentence gets the language whose codeword has the least loss under the weighted
 close, the decision is flagged and the sentences around it decide (a best path with a price for each change). Runs of
 sentences in one language are the segments of a document.
 
-The classifiers are fitted on a bounded sample of labelled documents (``FIT_ROWS``), in two rounds: the second leaves out
+The classifiers are fitted on a bounded sample of labelled documents (``FIT_ROWS``, of each at most ``FIT_CHARS``
+characters), in two rounds: the second leaves out
 the rows whose label the first one contradicts. Everything else is computed over all documents and whole texts.
 """
 
@@ -18,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 from decidra.llm.sentences import sentence_ends
 
-#: The most labelled rows the classifiers are fitted on, and the size of the feature table.
-FIT_ROWS, FEATURES = 6000, 1 << 16
+#: About how many labelled rows the classifiers are fitted on, the most characters of each, and the size of the feature table.
+FIT_ROWS, FIT_CHARS, FEATURES = 6000, 2000, 1 << 16
 LANGUAGES = "en de fr es pt it nl sv ru uk zh ja th ar hi".split()
 # Other spellings of languages.
 SPELLINGS = {
@@ -38,7 +40,7 @@ SPELLINGS = {
 }
 _CODES = {s: lang for lang, names in SPELLINGS.items() for s in (lang, *names.split())}
 _WORD = re.compile(r"[㐀-鿿々]|[぀-ヿ]+|[฀-๿]+|[^\W\d_㐀-鿿぀-ヿ฀-๿々]+")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_LATIN, _FOREIGN = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[^\W\d_A-Za-zÀ-ɏ]")
 #: Price of a change of language between sentences, and the lead below which a decision counts as ambiguous.
 CHANGE, LEAD = 6.0, 4.0
 
@@ -61,6 +63,8 @@ def codewords(n: int) -> np.ndarray:
 def tokens(sentence: str) -> list[str]:
     """Words and characters that tell a language: in other scripts without the Latin words in between, which are names."""
     found = _WORD.findall(sentence)
+    if sentence.isascii() or not _FOREIGN.search(sentence):
+        return found
     foreign = [w for w in found if not _LATIN.match(w)]
     if sum(map(len, foreign)) >= 3:
         return foreign
@@ -90,27 +94,31 @@ class Model:
         self.weights, self.words = weights, words
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.table = np.empty((0, weights.shape[1]), dtype=np.float32)
 
     def margins(self, sentences: list[list[str]]) -> np.ndarray:
         """The margin of each bit for each sentence."""
         if len(self.known) > 500_000:
             self.known.clear()
             self.rows.clear()
-        ids = []
-        for sentence in sentences:
-            for w in sentence:
-                k = self.known.get(w)
-                if k is None:
-                    k = self.known[w] = len(self.rows)
+            self.table = self.table[:0]
+        words = list(chain.from_iterable(sentences))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            for i, w in enumerate(words):
+                if ids[i] is None and (k := self.known.get(w)) is not None:
+                    ids[i] = k
+                elif ids[i] is None:
+                    ids[i] = self.known[w] = len(self.rows)
                     f = _features(w)
                     self.rows.append(self.weights[f].mean(axis=0) * min(4, len(f) ** 0.5))
-                ids.append(k)
-        table = np.array(self.rows, dtype=np.float32).reshape(len(self.rows), -1)
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.float32)])
         sums = np.zeros((len(sentences), self.weights.shape[1]), dtype=np.float32)
         if ids:
             owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
             order = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-            sums[owner[order]] = np.add.reduceat(table[np.array(ids)], order, axis=0)
+            sums[owner[order]] = np.add.reduceat(self.table[np.array(ids)], order, axis=0)
         return sums
 
     def scores(self, sentences: list[list[str]]) -> np.ndarray:
@@ -162,21 +170,64 @@ SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
-def segments(df: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _segmented(model: Model, texts: list[str], ends: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Per segment of a batch: row, number from 1, segments of the row, language, confidence, whether ambiguous, start, end."""
+    cuts = ends.offsets.to_numpy() - ends.offsets[0].as_py()
+    stop = ends.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    start = np.r_[0, stop[:-1]][: len(stop)]
+    start[cuts[:-1][np.diff(cuts) > 0]] = 0
+    words = [tokens(texts[r][a:b]) for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist())]
+    scores = model.scores(words) if words else np.zeros((0, len(LANGUAGES)))
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    usable = lengths >= 2
+    for i in np.flatnonzero(lengths == 1).tolist():
+        usable[i] = len(words[i][0]) >= 8
+    path = scores.argmax(axis=1) if len(words) else np.empty(0, dtype=np.int64)
+    n_of = np.diff(cuts)
+    has_words = np.add.reduceat(np.r_[lengths, 0], np.minimum(cuts[:-1], len(lengths))) * (n_of > 0) if len(texts) else n_of
+    # a row whose usable sentences agree is in one language: no change of language could lower its loss
+    least = np.full(len(texts), len(LANGUAGES))
+    most = np.full(len(texts), -1)
+    np.minimum.at(least, row[usable], path[usable])
+    np.maximum.at(most, row[usable], path[usable])
+    one = least == most
+    path = np.where(one[row], most[row], path)
+    for r in np.flatnonzero(~one & (has_words > 0)).tolist():
+        part = slice(cuts[r], cuts[r + 1])
+        path[part] = best_path(scores[part], usable[part])
+    first = np.flatnonzero((has_words[row] > 0) & np.r_[True, (np.diff(row) != 0) | (np.diff(path) != 0)][: len(row)])
+    if not len(first):
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(8))
+    last = np.array([*first[1:], len(row)])
+    last = np.minimum(last, cuts[row[first] + 1])
+    total = np.add.reduceat(scores, first, axis=0) if (last[:-1] == first[1:]).all() and last[-1] == len(row) else np.array([scores[a:b].sum(axis=0) for a, b in zip(first, last)])
+    chosen = total[np.arange(len(first)), path[first]]
+    others = total.copy()
+    others[np.arange(len(first)), path[first]] = -np.inf
+    share = 1 / np.exp(np.clip(total - chosen[:, None], -50, 50)).sum(axis=1)
+    own = row[first]
+    number = np.arange(len(own)) - np.searchsorted(own, own) + 1
+    return own, number, np.bincount(own, minlength=len(texts))[own], path[first], share, chosen - others.max(axis=1) < LEAD, start[first], stop[last - 1]
+
+
+def segments(df: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
     """One row per document and one-language segment: language, confidence, whether it is ambiguous, and its range.
 
     ``start`` and ``end`` are half-open positions from 0. Texts that are null or without letters give no row; a document
     of names only gets the language of its best guess, flagged ambiguous. Rows with a null id give none; repeated rows
-    give repeated results. Without labelled rows to fit on, no row is given.
+    give repeated results. Tables without letters give an empty result; where texts have letters but no row a usable label to fit on, an error is raised.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
-    # a bounded sample by hash, not by place: about fit_rows rows, of each text its first 2,000 characters
+    # a bounded sample by hash, not by place: about fit_rows rows, and of each text at most fit_chars characters from its middle
     share = min(1.0, fit_rows / max(1, df.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = rows.where(chosen & (F.length("text") > 40)).select("label", F.substring("text", 1, 2000).alias("text")).limit(2 * fit_rows).collect()
+    sample = rows.where(chosen & (F.length("text") > 40)).select("label", F.expr(f"substring(text, greatest(1, cast((length(text) - {fit_chars}) / 2 as int)), {fit_chars})").alias("text")).limit(2 * fit_rows).collect()
     labelled = [(tokens(r.text), LANGUAGES.index(c)) for r in sample if (c := code_of(r.label))]
-    if not labelled:
+    if not labelled and rows.where(F.col("text").rlike(r"\p{L}")).isEmpty():
         return df.sparkSession.createDataFrame([], SEGMENTS)
+    if not labelled:
+        raise ValueError("no row has a label that names one of the languages: there is nothing to fit on")
     model = fit([t for t, _ in labelled], [k for _, k in labelled])
     for _ in range(2):  # leave out wrong labels and mixed texts
         guess = model.scores([t for t, _ in labelled])
@@ -190,30 +241,11 @@ def segments(df: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows
             _KEPT[name] = Model(weights, words)
         own = _KEPT[name]
         for batch in batches:
-            out: list[tuple] = []
-            ids, labels, texts, ends = (batch.column(k).to_pylist() for k in range(4))
-            cut = [[t[a:b] for a, b in zip([0, *e[:-1]], e)] for t, e in zip(texts, ends)]
-            flat = [tokens(s) for sentences in cut for s in sentences]
-            scores = own.scores(flat) if flat else np.zeros((0, len(LANGUAGES)))
-            at = 0
-            for d, label, e, sentences in zip(ids, labels, ends, cut):
-                n = len(sentences)
-                part, words_of = scores[at : at + n], flat[at : at + n]
-                at += n
-                if not any(words_of):
-                    continue
-                usable = np.array([len(w) >= 2 or sum(map(len, w)) >= 8 for w in words_of])
-                path = best_path(part, usable)
-                first = [0, *(i for i in range(1, n) if path[i] != path[i - 1]), n]
-                for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                    total = part[a:b].sum(axis=0)
-                    order = np.argsort(-total)
-                    lead = float(total[path[a]] - total[order[0] if order[0] != path[a] else order[1]])
-                    share = float(1 / np.exp(np.clip(total - total[path[a]], -50, 50)).sum())
-                    out.append((d, label, k + 1, len(first) - 1, LANGUAGES[path[a]], share, lead < LEAD, 0 if a == 0 else e[a - 1], e[b - 1]))
-            columns = list(zip(*out)) if out else [[] for _ in SEGMENTS.names]
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=SEGMENTS.names)
+            row, number, of, lang, share, ambiguous, start, end = _segmented(own, batch.column(2).to_pylist(), batch.column(3))
+            names = pa.array(LANGUAGES).take(pa.array(lang.astype(np.int64)))
+            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(of.astype(np.int32)), names]
+            columns += [pa.array(share.astype(np.float64)), pa.array(ambiguous.astype(bool)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=SEGMENTS.names)
 
     return rows.withColumn("ends", sentence_ends(F.col("text"))).mapInArrow(run, SEGMENTS)
 

@@ -8,6 +8,9 @@ No Python runs and nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,10 @@ from decidra.session import unique_name
 # Private-use placeholders. Marks of one kind become one range, so that the patterns stay simple.
 DOT, STOP, MARK = "\ue000", "\ue001", "\ue0ff"
 _TERMS, _OPENERS, _CLOSERS, _SPACES = "。！？।؟…", "“„«「『（", "”»」』）", "\u00a0\u2009\u202f\u3000"
-_FROM = _TERMS + _OPENERS + _CLOSERS + _SPACES + MARK
-_TO = "".join(chr(k + i) for k, marks in ((0xE010, _TERMS), (0xE020, _OPENERS), (0xE030, _CLOSERS)) for i in range(len(marks))) + " " * len(_SPACES) + STOP
+#: Private-use characters of the text itself, which would pass for placeholders, become one that is none.
+_OWN = "".join(map(chr, range(0xE000, 0xE100)))
+_FROM = _TERMS + _OPENERS + _CLOSERS + _SPACES + _OWN
+_TO = "".join(chr(k + i) for k, marks in ((0xE010, _TERMS), (0xE020, _OPENERS), (0xE030, _CLOSERS)) for i in range(len(marks))) + " " * len(_SPACES) + "\uf8ff" * len(_OWN)
 _WIDE, _ELLIPSIS = "\ue010-\ue013", "\ue015"
 _TERM, _OPEN, _CLOSE, _WS = ".!?\ue010-\ue015", r"(\[" + "\ue020-\ue025", r")\]" + "\ue030-\ue034\ue020", r" \n\t\r"  # “ closes in German
 
@@ -63,11 +68,14 @@ def _points() -> str:
     )) + "))"
 
 
-#: Terminators inside quoted or bracketed speech, but for the last run before the closing mark.
-_SPEECH = (
-    rf"([{_OPEN}][^{_OPEN}{_CLOSE}{_TERM}]*+|(?!\A)\G[^{_OPEN}{_CLOSE}{_TERM}]*+)[{_TERM}](?![{_TERM}]*+ ?[{_CLOSE}])(?=(?:[^{_OPEN}{_CLOSE}\n]|\n(?![ \t\r]*\n)){{0,300}}[{_CLOSE}])"
-)
-_SPEECH_SINGLE = rf"(‘[^‘’{_TERM}\n]*+|(?!\A)\G[^‘’{_TERM}\n]*+)[{_TERM}](?![{_TERM}]*+ ?’)(?=[^‘’]{{0,300}}’)"
+#: Points and other terminators inside an address of the web, but for those at its end.
+_URL = rf"((?:(?:https?|ftp)://|(?<![\p{{L}}\p{{N}}.])www)[^\s.!?]*+|(?!\A)\G[^\s.!?]*+)[.!?](?=[\p{{L}}\p{{N}}/_?&=%#~+\-])"
+#: Straight quotation marks in pairs, with no blank line between: an opening and a closing one.
+_STRAIGHT = r"(?<![^\s(\[\ue020-\ue025])\"(?=\S)((?:[^\"\n]++|\n(?![ \t\r]*\n))*+)\"(?![\p{L}\p{N}])"
+#: Terminators inside quoted or bracketed speech, but for the last run before the closing mark; what is open closes before a blank line.
+_CLOSED = rf"(?=(?:[^{_OPEN}{_CLOSE}\n]++|\n(?![ \t\r]*\n))*+[{_CLOSE}])"
+_SPEECH = rf"([{_OPEN}]{_CLOSED}[^{_OPEN}{_CLOSE}{_TERM}]*+|(?!\A)\G[^{_OPEN}{_CLOSE}{_TERM}]*+)[{_TERM}](?![{_TERM}]*+ ?[{_CLOSE}])"
+_SPEECH_SINGLE = rf"(‘(?=(?:[^‘’\n]++|\n(?![ \t\r]*\n))*+’)[^‘’{_TERM}\n]*+|(?!\A)\G[^‘’{_TERM}\n]*+)[{_TERM}](?![{_TERM}]*+ ?’)"
 #: Behind each sentence a mark, by kind of script: the first alternative holds for all, the last ones for scripts without
 #: spaces or without case. An interjection with dots at the start of a sentence ("Well... ") ends none.
 TERMINATORS = (
@@ -81,9 +89,10 @@ TERMINATORS = (
     rf"|(?<=[\p{{Ll}}\p{{Nd}})][.!?]{{1,6}})(?=\p{{Lu}}\p{{Ll}}))"
 )
 #: In Thai a space parts statements if Thai letters, a number or a quotation stand before and Thai letters behind it.
-THAI_SPEECH = rf"([{_OPEN}][^{_OPEN}{_CLOSE} \n]*+|(?!\A)\G[^{_OPEN}{_CLOSE} \n]*+) (?=[^{_OPEN}{_CLOSE}\n]{{0,300}}[{_CLOSE}])"
+THAI_SPEECH = rf"([{_OPEN}](?=[^{_OPEN}{_CLOSE}\n]*+[{_CLOSE}])[^{_OPEN}{_CLOSE} \n]*+|(?!\A)\G[^{_OPEN}{_CLOSE} \n]*+) "
 THAI = rf"(?<=[\p{{IsThai}}\p{{Nd}}{_CLOSE}])(?= ++\p{{IsThai}})"
-#: Lines that end a sentence: blank lines, a colon, list items, and the lines of a closing block without marks.
+#: Lines that end a sentence: blank lines, a colon, list items, and the lines of a closing block without marks (a signature:
+#: up to eight lines of up to 90 characters at the end of the text).
 LINES = (
     r"\n(?:[ \t\r]*+\n|(?<=[:：][ \t\r]{0,3}\n)"
     rf"|(?=[ \t]*+(?:[-*•]|\d{{1,3}}\)|\d{{1,3}}{DOT})[ \t])"
@@ -92,16 +101,33 @@ LINES = (
 _BLANKS = " \t\r\n\u00a0\u202f\u2009\u3000\x0b\x0c"
 
 
+#: An opening mark with a terminator before the next mark.
+_OPEN_TERM = rf"[{_OPEN}][^{_OPEN}{_CLOSE}{_TERM}]*+[{_TERM}]"
+
+
+def _where(condition: Column, masked: Column, *steps: tuple[str, str], found: str | None = None) -> Column:
+    """``masked`` after the steps (pattern, replacement) where the condition holds and ``found`` occurs; it is computed once."""
+
+    def then(x: Column) -> Column:
+        changed = x
+        for pattern, replacement in steps:
+            changed = F.regexp_replace(changed, F.lit(pattern), F.lit(replacement))
+        return F.when(condition & x.rlike(found) if found else condition, changed).otherwise(x)
+
+    return F.get(F.transform(F.array(masked), then), F.lit(0))
+
+
 def marked(text: Column) -> Column:
     """The masked text, of the same length in code points, with a mark behind each sentence."""
     plain = F.octet_length(text) == F.length(text)  # the marks that are translated are not ASCII
+    holds = lambda marks: reduce(or_, (F.contains(text, F.lit(m)) for m in marks))
     out = F.rtrim(F.when(plain, text).otherwise(F.translate(text, _FROM, _TO)), F.lit(" \n\t\r"))
+    out = _where(holds('"'), out, (_STRAIGHT, "\ue021$1\ue030"))
+    out = _where(holds(("://", "www.")), out, (_URL, "$1" + STOP))
     out = F.regexp_replace(out, F.lit(_points()), F.lit(DOT))
-    rare = out
-    for pattern, replacement in ((_SPEECH, "$1" + STOP), (_SPEECH_SINGLE, "$1" + STOP), (THAI_SPEECH, "$1" + STOP), (THAI, MARK)):
-        rare = F.regexp_replace(rare, F.lit(pattern), F.lit(replacement))
-    special = F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")) | (~plain & text.rlike(rf"[‘{_OPENERS}\u0e01-\u0e5b]"))
-    out = F.when(special, rare).otherwise(out)
+    out = _where(holds('([\"') | (~plain & holds(_OPENERS)), out, (_SPEECH, "$1" + STOP), found=_OPEN_TERM)
+    out = _where(~plain & holds("‘"), out, (_SPEECH_SINGLE, "$1" + STOP))
+    out = _where(~plain & text.rlike(r"[\u0e01-\u0e5b]"), out, (THAI_SPEECH, "$1" + STOP), (THAI, MARK))
     return F.regexp_replace(F.regexp_replace(out, F.lit(TERMINATORS), F.lit("$0" + MARK)), F.lit(LINES), F.lit(MARK + "$0"))
 
 

@@ -18,18 +18,30 @@ def strip_identity(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, F.lit(IDENTITY), F.lit("")), F.lit(" \t\r\n"))
 
 
-def facts(text: Column) -> Column:
-    """``array<struct<key,value>>`` of the facts of a text in reading order; k and m scale by a thousand and a million."""
-    parts = [F.regexp_extract_all(text, F.lit(FACT), F.lit(k)) for k in (1, 2, 3)]
-    zipped = F.arrays_zip(*parts)
+#: A fact, or a run of letters that leads to no number: such a run is passed over as a whole, so a text is read once.
+_ONE_PASS = FACT + r"|[a-z][a-z _-]*+"
+_BEGIN, _NUMBER, _UNIT, _END = "\u0001", "\u0002", "\u0003", "\u0004"
+
 
-    def fact(m: Column) -> Column:
-        unit = F.lower(m["2"])
+def facts(text: Column) -> Column:
+    """``array<struct<key,value>>`` of the facts of a text in reading order; k and m scale by a thousand and a million.
+
+    One pass writes key, number and unit of each fact between marks (control characters of the text itself are taken out
+    before), which are then cut apart.
+    """
+    clean = F.translate(text, _BEGIN + _NUMBER + _UNIT + _END, "    ")
+    marked = F.regexp_replace(clean, F.lit(_ONE_PASS), F.lit(f"{_BEGIN}$1{_NUMBER}$2{_UNIT}$3{_END}"))
+
+    def fact(piece: Column) -> Column:
+        head = F.substring_index(piece, _END, 1)
+        unit = F.lower(F.substring_index(head, _UNIT, -1))
+        front = F.substring_index(head, _UNIT, 1)
         scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).otherwise(1.0)
-        key = F.trim(F.replace(F.lower(F.trim(m["0"])), F.lit(" "), F.lit("_")), F.lit("_"))
-        return F.struct(key.alias("key"), (m["1"].cast("double") * scale).alias("value"))
+        key = F.trim(F.replace(F.lower(F.trim(F.substring_index(front, _NUMBER, 1))), F.lit(" "), F.lit("_")), F.lit("_"))
+        return F.struct(key.alias("key"), (F.substring_index(front, _NUMBER, -1).try_cast("double") * scale).alias("value"))
 
-    return F.filter(F.transform(zipped, fact), lambda f: f["key"] != "")
+    found = F.filter(F.split(marked, _BEGIN), lambda x: F.contains(x, F.lit(_UNIT)) & ~F.startswith(x, F.lit(_NUMBER)))
+    return F.filter(F.transform(found, fact), lambda f: f["key"] != "")
 
 
 def fact(found: Column, key: Column | str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from decidra.session import unique_name
+from decidra.session import bounded_broadcast, unique_name
 
 # The names of each quantity in the languages of the catalogs.
 NAMES = {
@@ -124,6 +124,9 @@ _SECONDS = re.compile(r"[ \u00a0\u202f]?(\d+(?:[.,]\d+)?)[ \u00a0\u202f]?(?:seco
 _WORD = re.compile("|".join(f"(?P<w{v}>{p})" for v, p in sorted(_WORDS.items(), key=lambda x: -max(map(len, x[1].split("|"))))), re.I)
 
 
+_SENTENCE_END = re.compile(r"[.!?]\s|[。！？]|\n")
+#: Values beyond this are no measurements: they become null.
+LARGEST = 2**63 - 1
 _GROUPING = str.maketrans("", "", "_'’ \u00a0\u202f\u2009")
 _HEADER_END, _HEADER_VALUE = re.compile(r" ?[,;:、：)）]|\.[,;:)]|$"), re.compile(r"[:：] ?[\d.,$]")
 
@@ -172,14 +175,32 @@ def _declared(units: str) -> dict[str, tuple[int, int]]:
     return found
 
 
+def _value_before(text: str, quantity: str, name: int, after: int) -> int | None:
+    """Where the value of a name is that stands before it in its sentence ("With 90 ms, its latency ..."), if it does.
+
+    The number behind "With" is the value if a unit of the quantity follows it, or if none stands behind the name.
+    """
+    if not text.endswith("its ", 0, name):
+        return None
+    begin = text.rfind("With ", 0, name) + 5
+    if begin < 5 or _SENTENCE_END.search(text, begin, name):
+        return None
+    number = _NUMBER.match(text, begin + (text[begin : begin + 1] == "$"))
+    if number is None:
+        return begin if quantity == "latency" and _WORD.match(text, begin) else None
+    if text[begin] == "$" or _unit_at(text, quantity, number.end()):
+        return begin
+    return None if _NUMBER.match(text, _FILL.match(text, after).end()) else begin
+
+
 def read_measurements(text: str, mark: str, declared: str = "") -> list[tuple[str, int | None, bool]]:
     """(quantity, value in base units or None without a known unit, unit from the text) of each statement."""
     values: list[tuple[str, tuple[int, int], tuple[int, int] | None]] = []
     stated: dict[str, tuple[int, int]] = {}
     for m in _NAME.finditer(text):
         quantity, at, start = _BY_NAME[m[0]], m.end(), None
-        if text.endswith("its ", 0, m.start()) and (w := text.rfind("With ", 0, m.start())) >= 0:
-            at, start = w + 5, w + 5
+        if (before := _value_before(text, quantity, m.start(), at)) is not None:
+            at = start = before
         dollar = text[at : at + 1] == "$"
         if start is None:
             begins = text[at : at + 1] in (" ", "\u00a0") and not text[at + 1 : at + 2].isdigit()
@@ -222,7 +243,8 @@ def read_measurements(text: str, mark: str, declared: str = "") -> list[tuple[st
             out.append((quantity, None, False))
         else:
             top, bottom = mantissa * scale[0], 10**decimals * scale[1]
-            out.append((quantity, (2 * top + bottom) // (2 * bottom), from_text is not None))
+            value = (2 * top + bottom) // (2 * bottom)
+            out.append((quantity, value if value <= LARGEST else None, from_text is not None))
     return out
 
 
@@ -255,12 +277,20 @@ def measurements(df: DataFrame, text: Column, decimal_mark: Column, units: Colum
 
     Base units: latency microseconds, price millionths of a dollar per 1,000 tokens, context tokens, memory bytes, quality
     ten-thousandths, throughput tokens per hour, energy millijoules; values are exact, halves round up. A value without a
-    unit in its text or among ``units`` has a null ``base_value``. Null and blank texts give an empty array; a null decimal
+    unit in its text or among ``units``, or beyond a bigint, has a null ``base_value``. Null and blank texts give an empty array; a null decimal
     mark is a point; an existing ``out_col`` is replaced; other columns are kept and rows neither lost nor merged.
     """
     return df.withColumn(out_col, _read(text, decimal_mark, units))
 
 
+def with_declared(candidates: DataFrame, catalog_units: DataFrame, catalogs: DataFrame, out_col: str = "measurements") -> DataFrame:
+    """``measurements`` of candidates (catalog_id, text) with the units and decimal marks of their catalogs."""
+    declared = declared_units(catalog_units, "catalog_id", "quantity", "unit")
+    marks = catalogs.select("catalog_id", "decimal_mark")
+    sources = bounded_broadcast(marks.join(declared, "catalog_id", "full_outer"))
+    return measurements(candidates.join(sources, "catalog_id", "left"), F.col("text"), F.col("decimal_mark"), F.col("units"), out_col)
+
+
 def resolve_units(df: DataFrame, units: Mapping[str, Mapping[str, float]], identities: Sequence[Mapping[str, float]], tolerance: float = 0.02, out_col: str = "units") -> DataFrame:
     """Chooses the unit of each column by physical identities, minimising the sum of squared log residuals.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions import facts as ff
 from decidra.functions import scores as sc
-from decidra.operators import metrics, retrieval, slots, trust
+from decidra.operators import metrics, retrieval, slots, trust, units
 from decidra.plans import executor
 from decidra.plans.program import compile_instruction
 from decidra.session import bounded_broadcast, table
@@ -61,17 +61,52 @@ def decide_certificate(spark, d):
     return executor.certificate(_suppliers(spark, d), FLOOR)
 
 
+#: Units in which the engine's programs state quantities, as sizes in base units: ms, dollars per million tokens, tokens,
+#: megabytes, percent, tokens a second, joules.
+PROGRAM_UNITS = {"latency": 1e3, "price": 1e3, "context": 1.0, "memory": 1e6, "quality": 100.0, "throughput": 3600.0, "energy": 1e3}
+
+
+def _latest_candidates(spark, d):
+    return table(spark, d, "candidates").groupBy("decision_id", "candidate_id").agg(F.min("pos").alias("pos"), F.max(F.struct("loaded_at", "text", "catalog_id")).alias("r")).select("decision_id", "candidate_id", "pos", "r.text", "r.catalog_id")
+
+
 def decide_each(spark, d):
-    """All decisions with their own questions over all candidates; deliveries of a candidate count once."""
-    decisions = table(spark, d, "decisions").select("decision_id", "question").dropDuplicates(["decision_id"])
-    latest = table(spark, d, "candidates").groupBy("decision_id", "candidate_id").agg(F.min("pos").alias("pos"), F.max(F.struct("loaded_at", "text"))["text"].alias("text"))
-    return executor.decide_each(decisions, latest)
+    """All decisions with their own questions over all candidates, quantities read in one unit; deliveries of a candidate count once."""
+    decisions = table(spark, d, "decisions").groupBy("decision_id").agg(F.max("question").alias("question"))
+    measured = units.with_declared(_latest_candidates(spark, d), table(spark, d, "catalog_units"), table(spark, d, "model_catalogs"))
+    known = F.filter("measurements", lambda m: m["base_value"].isNotNull())
+    size = F.create_map(*[F.lit(x) for kv in PROGRAM_UNITS.items() for x in kv])
+    facts = F.transform(known, lambda m: F.struct(m["quantity"].alias("key"), (m["base_value"] / size[m["quantity"]]).alias("value")))
+    return executor.decide_each(decisions, measured.withColumn("facts", facts), "facts")
+
+
+def decide_questions(spark, d):
+    """A question for each brand: those with an even number ask for the cheapest of a least quality, the others for the largest."""
+    decisions = table(spark, d, "part").select(F.col("p_brand").alias("decision_id")).distinct()
+    question = F.when(F.substring("decision_id", -1, 1).cast("int") % 2 == 0, LEXI).otherwise("maximize quality, then minimize retail price")
+    out = executor.decide_each(decisions.withColumn("question", question), _parts(spark, d), pos="candidate_id")
+    return out.select("decision_id", "answer", "decision_mode", F.col("eligible").cast("long").alias("eligible"), "primary_margin", "trust_state")
+
+
+def decide_unread(spark, d):
+    """A program with an axis that half of the candidates do not state: the structured lane does not admit it."""
+    parts = _parts(spark, d).withColumn("text", F.when(F.col("candidate_id") % 2 == 0, F.concat("text", F.lit("; elegance 3"))).otherwise(F.col("text")))
+    return executor.decide(parts, "maximize elegance").select("decision_id", "answer", "decision_mode", "trust_state", "reason")
+
+
+def decide_survivors(spark, d):
+    out = executor.survivors(_suppliers(spark, d), FLOOR)
+    return out.groupBy("decision_id", "stage").agg(F.count("*").alias("n"))
+
+
+def _fact_texts(spark, d):
+    text = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit("; quantity "), F.col("l_quantity").cast("int").cast("string"), F.lit("; ship weight: "), F.col("l_linenumber").cast("string"), F.lit("k; quantity = "), F.col("l_partkey").cast("string"), F.lit(" s, no number here"))
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), text.alias("t"))
 
 
 def parse_facts(spark, d):
-    text = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit("; quantity "), F.col("l_quantity").cast("int").cast("string"), F.lit("; ship weight: "), F.col("l_linenumber").cast("string"), F.lit("k; quantity = "), F.col("l_partkey").cast("string"))
-    found = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ff.facts(text).alias("f"))
-    return found.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), ff.fact(F.col("f"), "quantity").alias("quantity"), ff.fact(F.col("f"), "ship_weight").alias("ship_weight"), ff.fact(F.col("f"), "absent").alias("absent"))
+    found = _fact_texts(spark, d).select("l_orderkey", "l_linenumber", ff.facts(F.col("t")).alias("f"))
+    return found.select("l_orderkey", "l_linenumber", *(ff.fact(F.col("f"), k).alias(k) for k in ("quantity", "ship_weight", "absent")), F.size("f").cast("long").alias("facts"))
 
 
 def enum_filter(spark, d):
@@ -282,7 +317,7 @@ def state_texts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    decide_min_lexi, decide_filter_floor, decide_abstain, decide_band, decide_probabilities, decide_certificate, decide_each, parse_facts, enum_filter, bm25_scores, bm25_df, rrf_fusion, select_state, cosine_match,
+    decide_min_lexi, decide_filter_floor, decide_abstain, decide_band, decide_probabilities, decide_certificate, decide_each, decide_questions, decide_unread, decide_survivors, parse_facts, enum_filter, bm25_scores, bm25_df, rrf_fusion, select_state, cosine_match,
     softmax_temperature, fit_temperature, ece15, ece10_right, brier_nll, auroc, auprc, risk_coverage, ranking_quality, lane_agreement, observation_features, trust_policy, decile_risk, logistic_risk, slot_states, compile_calls,
     request_validation, exact_lane, lane_counts, latest_requests, input_tokens, fact_age, seen_within, ema_reliability, user_reliability, trigger_decay, pairwise_potential, state_texts,
 )}
@@ -307,7 +342,21 @@ SQL = {
         SELECT decision_id, candidate_id, round(coalesce(x / sum(x) OVER (PARTITION BY decision_id), 0.0), 6) AS probability FROM e""",
     "decide_certificate": f"""WITH c AS ({_SUPPLIERS_SQL}) SELECT decision_id, candidate_id, 'FILTER permitted' AS stage, CASE WHEN ok THEN 1.0 ELSE -1.0 END::DOUBLE AS value FROM c
         UNION ALL SELECT decision_id, candidate_id, 'FILTER quality>=0.0', 1.0::DOUBLE FROM c UNION ALL SELECT decision_id, candidate_id, 'MAX balance', balance FROM c""",
-    "parse_facts": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey::DOUBLE AS quantity, l_linenumber * 1000.0::DOUBLE AS ship_weight, CAST(NULL AS DOUBLE) AS absent FROM lineitem",
+    "decide_questions": f"""WITH c AS ({_PARTS_SQL}), e AS (SELECT *, right(decision_id, 1)::INT % 2 = 0 AS even FROM c), f AS (SELECT *, NOT even OR quality >= 20 AS ok, CASE WHEN even THEN price ELSE -quality END AS k0, CASE WHEN even THEN candidate_id ELSE price END AS k1 FROM e),
+        w AS (SELECT decision_id, candidate_id, k0 FROM f WHERE ok QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY k0, k1, 'retail price ' || printf('%.2f', price) || '; quality ' || quality || '; part key ' || candidate_id, candidate_id) = 1),
+        o AS (SELECT f.decision_id, min(f.k0) AS other FROM f JOIN w USING (decision_id) WHERE f.ok AND f.candidate_id <> w.candidate_id GROUP BY 1), g AS (SELECT decision_id, count_if(ok)::BIGINT AS eligible FROM f GROUP BY 1)
+        SELECT g.decision_id, w.candidate_id AS answer, CASE WHEN w.candidate_id IS NULL THEN 'abstain' ELSE 'structured' END AS decision_mode, eligible, round(other - k0, 4)::DOUBLE AS primary_margin,
+        CASE WHEN w.candidate_id IS NULL THEN 'abstain' WHEN other IS NULL OR round(other - k0, 4) > 0 THEN 'confident' ELSE 'tie' END AS trust_state FROM g LEFT JOIN w USING (decision_id) LEFT JOIN o USING (decision_id)""",
+    "decide_unread": """SELECT p_brand AS decision_id, CASE WHEN bool_and(p_partkey % 2 = 0) THEN min(p_partkey) END AS answer, CASE WHEN bool_and(p_partkey % 2 = 0) THEN 'structured' ELSE 'abstain' END AS decision_mode,
+        CASE WHEN bool_and(p_partkey % 2 = 0) THEN 'tie' ELSE 'abstain' END AS trust_state, CASE WHEN NOT bool_and(p_partkey % 2 = 0) THEN 'crux lane disabled' END AS reason FROM part GROUP BY 1""",
+    "decide_survivors": f"""WITH c AS ({_SUPPLIERS_SQL}), b AS (SELECT *, max(CASE WHEN ok THEN balance END) OVER (PARTITION BY decision_id) AS best FROM c)
+        SELECT decision_id, 'FILTER permitted' AS stage, count(*) AS n FROM b WHERE ok GROUP BY 1 UNION ALL SELECT decision_id, 'FILTER quality>=0.0', count(*) FROM b WHERE ok GROUP BY 1
+        UNION ALL SELECT decision_id, 'MAX balance', count(*) FROM b WHERE ok AND balance = best GROUP BY 1""",
+    "parse_facts": r"""WITH t AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'order ' || l_orderkey || '; quantity ' || l_quantity::INT || '; ship weight: ' || l_linenumber || 'k; quantity = ' || l_partkey || ' s, no number here' AS t FROM lineitem),
+        m AS (SELECT *, '(?i)([a-z][a-z _-]*?)\s*[:=]?\s*(-?[0-9]*\.?[0-9]+)\s*(ms|s|k|m|%)?\b' AS p FROM t),
+        f AS (SELECT l_orderkey, l_linenumber, regexp_extract_all(t, '(?i)([a-z][a-z _-]*?)\s*[:=]?\s*(-?[0-9]*\.?[0-9]+)\s*(ms|s|k|m|%)?\b', 1) AS k, regexp_extract_all(t, '(?i)([a-z][a-z _-]*?)\s*[:=]?\s*(-?[0-9]*\.?[0-9]+)\s*(ms|s|k|m|%)?\b', 2) AS n, regexp_extract_all(t, '(?i)([a-z][a-z _-]*?)\s*[:=]?\s*(-?[0-9]*\.?[0-9]+)\s*(ms|s|k|m|%)?\b', 3) AS u FROM m),
+        v AS (SELECT l_orderkey, l_linenumber, list_transform(k, lambda x: replace(trim(lower(x)), ' ', '_')) AS k, list_transform(n, lambda x, i: x::DOUBLE * CASE lower(u[i]) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END) AS n FROM f)
+        SELECT l_orderkey, l_linenumber, list_filter(n, lambda x, i: k[i] = 'quantity')[-1] AS quantity, list_filter(n, lambda x, i: k[i] = 'ship_weight')[-1] AS ship_weight, list_filter(n, lambda x, i: k[i] = 'absent')[-1] AS absent, len(k) AS facts FROM v""",
     "enum_filter": "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE -1.0 END::DOUBLE AS value, count(*) AS n FROM orders GROUP BY 1, 2",
     "rrf_fusion": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY semantic DESC, pos) - 1 AS a, row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) - 1 AS b FROM {_LANES})
         SELECT obs_id, pos, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS rrf FROM l""",

@@ -10,4 +10,4 @@ from decidra.plans import engine_queries, unit_queries
 
 FLAGSHIP = "decide_min_lexi"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**engine_queries.QUERIES, **unit_queries.QUERIES}
-SQL: dict[str, str] = {**engine_queries.SQL}
+SQL: dict[str, str] = {**engine_queries.SQL, **unit_queries.SQL}

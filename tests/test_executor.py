@@ -77,7 +77,7 @@ def test_nulls_empty_and_certificate(spark):
     empty = spark.createDataFrame([], "decision_id string, candidate_id string, text string")
     assert executor.decide(empty, "minimize cost").collect() == []
     got = answer(spark, "minimize cost", {"a": None, "b": "cost 1"})
-    assert got.answer == "a" and not got.structured  # an unstated axis ranks as 0
+    assert got.answer is None and got.decision_mode == "abstain" and got.reason == executor.NO_LANE and not got.structured  # a candidate does not state the axis
     assert executor.certificate(frame(spark, {"a": "cost 2"}), "minimize cost").first().asDict() == {"decision_id": "d", "candidate_id": "a", "stage": "MIN cost", "value": 2.0}
 
 
@@ -85,3 +85,33 @@ def test_probabilities_sum_to_one(spark):
     texts = {"a": "permitted; cost 1", "b": "permitted; cost 2", "c": "not permitted; cost 0"}
     got = {r.candidate_id: r.probability for r in executor.probabilities(frame(spark, texts), compile_instruction("permitted; minimize cost")).collect()}
     assert got["c"] == 0 and abs(sum(got.values()) - 1) < 1e-12 and got["a"] > got["b"]
+
+
+def test_program_without_axis_is_one_hot(spark):
+    got = {r.candidate_id: r.probability for r in executor.probabilities(frame(spark, {"a": "permitted; z", "b": "permitted; y", "c": "illegal"}), "permitted").collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 0.0}
+
+
+def test_rounding_and_margin(spark):
+    assert spark.range(1).select(executor.quantized(F.lit(1.0005))).first()[0] == 1.0
+    assert answer(spark, "minimize cost", {"a": "cost 1", "b": "cost 4", "c": "cost 2.5"}).primary_margin == 1.5
+    assert answer(spark, "minimize cost", {"a": "cost 1"}).primary_margin is None
+
+
+def test_own_grounder_answers_what_is_not_stated(spark):
+    scale = ["none", "little", "ample", "vast"]
+
+    def grounder(texts, stages):
+        values = F.array(*(F.when(F.contains("text", F.lit("not permitted")), -1.0).otherwise(1.0) if s.kind == "FILTER" else F.coalesce(*(F.when(F.contains("text", F.lit(w)), float(k)) for k, w in enumerate(scale))) for s in stages))
+        return texts.select("decision_id", "candidate_id", values.alias("values"))
+
+    got = answer(spark, "Choose the permitted option with the most headroom.", {"a": "permitted; headroom ample", "b": "permitted; headroom little"}, grounder=grounder)
+    assert got.answer == "a" and got.decision_mode == "crux"
+    got = answer(spark, "Choose the permitted option with the most headroom.", {"a": "not permitted; headroom ample", "b": "not permitted; headroom vast"}, grounder=grounder)
+    assert got.answer is None and got.trust_state == "abstain" and got.reason == executor.NO_CANDIDATE
+
+
+def test_survivors_by_stage(spark):
+    texts = {"gpt": "supports tools; quality 0.92; latency 800; cost 0.9", "haiku": "supports tools; quality 0.74; latency 200; cost 0.1", "local": "no tool support; quality 0.60; latency 50; cost 0.0"}
+    got = executor.survivors(frame(spark, texts), "supports tools and quality at least 0.7; minimize latency, then cost").orderBy("stage_no", "candidate_id").collect()
+    assert [(r.stage, r.candidate_id) for r in got] == [("FILTER tool_support", "gpt"), ("FILTER tool_support", "haiku"), ("FILTER quality>=0.7", "gpt"), ("FILTER quality>=0.7", "haiku"), ("MIN latency", "haiku"), ("MIN cost", "haiku")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,17 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     """Of an array; null and empty arrays stay as they are."""
     t = F.greatest(F.lit(temperature) if isinstance(temperature, (int, float)) else temperature, F.lit(1e-6))
-    e = F.transform(scores, lambda x: F.exp((x - F.array_max(scores)) / t))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
+    shifted = lambda s: bound(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp((x - m) / t)))
+    return bound(scores, lambda s: bound(shifted(s), lambda e: bound(total(e), lambda n: F.transform(e, lambda x: x / n))))
 
 
 def dot(a: Column, b: Column) -> Column:

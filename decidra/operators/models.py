@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.session import unique_name
+from decidra.functions.scores import bound
+from decidra.session import cut_lineage, unique_name
 
 Embedder = Callable[[Column], Column]
 Entailment = Callable[[Column, Column], Column]
@@ -30,15 +31,15 @@ def content_words(text: Column) -> Column:
 
 def normalized(vector: Column) -> Column:
     """To length 1; all zeros stay."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return bound(vector, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))))
 
 
 def hashed_words(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The embedder stand-in: a hashed bag of content words of length 1."""
     places = F.transform(content_words(text), lambda w: (F.crc32(w.cast("binary")) % dimensions).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return normalized(counts)
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(own, lambda p: p == i)).cast("double"))
+    return bound(places, lambda own: normalized(counts(own)))
 
 
 def shared_word(premise: Column, said: Column) -> Column:
@@ -51,15 +52,16 @@ def embedded(df: DataFrame, text: str, embedder: Embedder = hashed_words, out_co
     """Adds the vector of each text; every distinct text is embedded once. Null texts get a null vector."""
     key, held = unique_name(df, "_text"), unique_name(df, "_vector")
     once = df.select(F.col(f"`{text}`").alias(key)).where(F.col(key).isNotNull()).distinct()
-    vectors = once.withColumn(held, embedder(F.col(key)))
+    vectors = cut_lineage(once.withColumn(held, embedder(F.col(key))))
     return df.join(vectors, F.col(f"`{text}`") == F.col(key), "left").drop(key).withColumn(out_col, F.col(held)).drop(held)
 
 
 def masked_mean(vectors: Column, mask: Column) -> Column:
     """The mean of the vectors of an array whose mask is not 0, of length 1; null if the mask is all 0."""
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["v"])
-    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.transform(kept[0], lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
-    return F.when(F.size(kept) > 0, normalized(F.transform(total, lambda x: x / F.size(kept))))
+    doubles = lambda v: F.transform(v, lambda x: x.cast("double"))
+    total = lambda k: F.aggregate(F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), doubles(k[0]), lambda s, v: F.zip_with(s, doubles(v), lambda a, b: a + b))
+    return bound(kept, lambda k: F.when(F.size(k) > 0, normalized(F.transform(total(k), lambda x: x / F.size(k)))))
 
 
 def predicate_margin(holds: Column, fails: Column) -> Column:
@@ -92,7 +94,7 @@ def match(states: DataFrame, candidates: DataFrame, state_id: str, state: str, c
     right = embedded(candidates.select(*keys, F.col(candidate_id).alias("_c"), F.col(candidate).alias("_ct")), "_ct", embedder, "_cv")
     flat = lambda df, i, v: df.select(*keys, i, F.posexplode(v).alias("_d", f"{v}x")).where(F.col(f"{v}x") != 0)
     met = flat(left, "_s", "_sv").join(flat(right, "_c", "_cv"), [*keys, "_d"]).groupBy(*keys, "_s", "_c").agg(F.sum(F.col("_svx") * F.col("_cvx")).alias("score"))
-    return best_two(met, "_s", "_c", "score").select(F.col("_s").alias(state_id), F.col("_c").alias(candidate_id), "score", "margin")
+    return best_two(cut_lineage(met), "_s", "_c", "score").select(F.col("_s").alias(state_id), F.col("_c").alias(candidate_id), "score", "margin")
 
 
 def best_two(scored: DataFrame, query: str, candidate: str, score: str) -> DataFrame:

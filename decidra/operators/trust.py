@@ -76,6 +76,30 @@ def decile_risk(score: Column, edges: list[float], rates: list[float]) -> Column
     return F.element_at(F.array(*map(F.lit, rates)), bin_of(score, edges) + 1)
 
 
+SIMPLE = ["semantic_top1", "semantic_margin", "semantic_top1_z", "semantic_ood_dist", "lane_agree", "score_entropy", "top1_share", "candidate_count"]
+
+
+def controls(seen: DataFrame, error: str, fit: Column) -> DataFrame:
+    """Adds the risks of six controls to the rows that are not in ``fit``: A top score, B margin, C both, D agreement, E distance, F logistic.
+
+    Scales, bins and weights come from the ``fit`` rows alone, as a few sums of one aggregation each; A to E are the error
+    rate of the decile of the score.
+    """
+    own, rest = seen.where(fit), seen.where(~F.coalesce(fit, F.lit(False)))
+    m = own.agg(F.avg("semantic_top1"), F.stddev_pop("semantic_top1"), F.avg("semantic_margin"), F.stddev_pop("semantic_margin")).first()
+    z = lambda c, k: (F.col(c) - (m[k] or 0.0)) / ((m[k + 1] or 0.0) + 1e-9)
+    top, margin = z("semantic_top1", 0), z("semantic_margin", 2)
+    scores = {
+        "a_top1": -F.col("semantic_top1"), "b_margin": -F.col("semantic_margin"), "c_top1_margin": -(top + margin), "d_lane_agree": (1 - F.col("lane_agree")) - margin,
+        "e_ood": F.col("semantic_ood_dist") - F.col("top1_share"),
+    }
+    for name, score in scores.items():
+        edges, rates = decile_rates(own.withColumn("_s", score), "_s", error)
+        rest = rest.withColumn(name, decile_risk(score, edges, rates))
+    weights, bias, scale = fit_logistic(own, SIMPLE, error)
+    return rest.withColumn("f_logistic", logistic_risk(SIMPLE, weights, bias, scale))
+
+
 def fit_logistic(df: DataFrame, features: list[str], label: str, iterations: int = 800, rate: float = 0.5, l2: float = 1e-3, rows: int = 50_000) -> tuple[list[float], float, list[tuple[float, float]]]:
     """Weights, bias and (mean, deviation) of each feature, by gradient descent on standardised features.
 

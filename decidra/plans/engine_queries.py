@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from decidra.functions import facts as ff
 from decidra.functions import scores as sc
-from decidra.operators import metrics, retrieval, slots, trust, units
+from decidra.operators import evaluation as ev
+from decidra.operators import metrics, models, retrieval, slots, trust, units
 from decidra.plans import executor
+from decidra.plans import systemone as so
 from decidra.plans.program import compile_instruction
 from decidra.session import bounded_broadcast, table
 from decidra.sources import requests as rq
@@ -316,10 +318,129 @@ def state_texts(spark, d):
     return rows.select("request_id", rq.state_text(F.col("state"), F.col("state_kind")).alias("text"))
 
 
+def multiclass_losses(spark, d):
+    rows = table(spark, d, "observations").select(sc.softmax(F.col("semantic"), 0.05).alias("p"), (F.array_position("bm25", F.array_max("bm25")) - 1).cast("int").alias("y")).where("size(p) > 0 and y >= 0")
+    return ev.multiclass_losses(rows, "p", "y").select(F.round("brier", 6).alias("brier"), F.round("nll", 6).alias("nll"))
+
+
+def coverage_at_risk(spark, d):
+    return ev.coverage_at_risk(_graded(spark, d), "risk")
+
+
+def prefix_curve(spark, d):
+    got = ev.prefix_curve(_graded(spark, d), "risk", "error")
+    return got.select("k", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"), "threshold")
+
+
+def curve_points(spark, d):
+    curve = ev.prefix_curve(_graded(spark, d), "risk", "error")
+    a = ev.risk_at(curve, 0.5).select(F.lit("risk at 0.5").alias("point"), F.round("risk", 6).alias("value"))
+    return a.unionAll(ev.coverage_at(curve, 0.6).select(F.lit("coverage at 0.6"), F.round("coverage", 6)))
+
+
+def latency_p95(spark, d):
+    return ev.order_statistic(table(spark, d, "events"), "value", 0.95)
+
+
+def label_accuracy(spark, d):
+    """Priced quantity bands of lines against their bands by number."""
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 10).cast("int").alias("y"), F.floor(F.col("l_extendedprice") / 12000).cast("int").alias("p"))
+    return ev.accuracy(rows, "p", "y").select("n", F.round("accuracy", 6).alias("accuracy"), F.round("within_one", 6).alias("within_one"))
+
+
+def _two_lanes(spark, d):
+    return _lanes(spark, d).where("semantic is not null and bm25 is not null")
+
+
+def winner_agreement(spark, d):
+    return ev.winner_agreement(_two_lanes(spark, d), "obs_id", "pos", "semantic", "bm25").select("decisions", F.round("agreement", 6).alias("agreement"))
+
+
+def sign_accuracy(spark, d):
+    return ev.sign_accuracy(_two_lanes(spark, d), "obs_id", "pos", "semantic", "bm25", 4).select("pairs", F.round("accuracy", 6).alias("accuracy"))
+
+
+def relation_crosstab(spark, d):
+    rows = table(spark, d, "observations").where("size(semantic) > 1 and size(bm25) > 1")
+    pair = rows.select(*(F.col(c)[k].alias(f"{c}{k}") for c in ("semantic", "bm25") for k in (0, 1)))
+    return ev.relation_crosstab(pair, "semantic0", "semantic1", "bm250", "bm251")
+
+
+def top_set_agreement(spark, d):
+    return ev.top_set_agreement(_two_lanes(spark, d), "obs_id", "pos", "semantic", "bm25").select("decisions", F.round("agreement", 6).alias("agreement"), F.round("chance", 6).alias("chance"))
+
+
+def full_order_agreement(spark, d):
+    return ev.full_order_agreement(_two_lanes(spark, d), "obs_id", "pos", "semantic", "bm25").select("decisions", F.round("agreement", 6).alias("agreement"))
+
+
+def certificate_counts(spark, d):
+    got = ev.certificates(_two_lanes(spark, d), "obs_id", "pos", "semantic", 0.03)
+    return got.groupBy("certified").agg(F.count("*").alias("n"), F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"), F.sum("open").alias("open"))
+
+
+def margin_bins(spark, d):
+    seen = trust.observe(table(spark, d, "observations")).where("lane_agree is not null")
+    return ev.agreement_by_margin(seen, "semantic_margin", "lane_agree").select("bin", "n", F.round("agreement", 6).alias("agreement"))
+
+
+def lane_divergence(spark, d):
+    rows = table(spark, d, "observations").where("size(semantic) > 0")
+    kl = ev.divergence(sc.softmax(F.col("semantic"), 0.1), sc.softmax(F.col("semantic"), 0.2))
+    return rows.select("obs_id", F.round(kl, 6).alias("kl"))
+
+
+def calibration_radius(spark, d):
+    rows = _graded(spark, d).withColumn("off", F.col("risk") - F.col("error"))
+    return ev.calibration_radius(rows, "off").select(F.round("radius", 9).alias("radius"))
+
+
+def graph_degrees(spark, d):
+    """Customers and the days of their orders as a graph."""
+    return ev.degrees(table(spark, d, "orders").select("o_custkey", (F.to_date("o_orderdate").cast("string")).alias("day"), (-F.col("o_orderkey")).alias("o")), "o_custkey", "o")
+
+
+def graph_components(spark, d):
+    """Components of parts that were ordered together, by number of parts."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("hub"))
+    got = ev.components(lines.join(first, "l_orderkey").where("l_partkey <> hub").select("l_partkey", "hub").distinct(), "l_partkey", "hub")
+    return got.groupBy("component").agg(F.count("*").alias("parts"))
+
+
+def bootstrap_interval(spark, d):
+    rows = trust.observe(table(spark, d, "observations")).where("candidate_count > 0")
+    return ev.bootstrap(rows, "obs_id", "semantic_margin").select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+def noise_stability(spark, d):
+    return ev.stability(_two_lanes(spark, d), "obs_id", "pos", "semantic", 0.02)
+
+
+def trust_controls(spark, d):
+    """Risks of the six controls on the odd observations, fitted on the even ones."""
+    seen = trust.observe(table(spark, d, "observations").where("risk is not null")).where("candidate_count > 0").withColumn("error", (F.col("risk") > 0.5).cast("int"))
+    got = trust.controls(seen, "error", F.col("obs_id") % 2 == 0)
+    return got.select("obs_id", *(F.round(c, 6).alias(c) for c in ("a_top1", "b_margin", "c_top1_margin", "d_lane_agree", "e_ood", "f_logistic")))
+
+
+def system_one(spark, d):
+    """All questions of the latest deliveries, answered with the stand-in models."""
+    asked = rq.latest(table(spark, d, "requests").select("request_id", "state", "state_kind", "ingested_at"))
+    return so.answer(asked, table(spark, d, "questions")).select("request_id", "pos", "qname", "qtype", "lane", "answer", "confidence")
+
+
+def text_match(spark, d):
+    """The evaluation item nearest to each decision's state, by the hashed bag of words."""
+    states = table(spark, d, "decisions").where("state is not null").groupBy("decision_id").agg(F.max("state").alias("state"))
+    return models.match(states, table(spark, d, "eval_items"), "decision_id", "state", "item_id", "text").select("decision_id", "item_id", F.round("score", 6).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     decide_min_lexi, decide_filter_floor, decide_abstain, decide_band, decide_probabilities, decide_certificate, decide_each, decide_questions, decide_unread, decide_survivors, parse_facts, enum_filter, bm25_scores, bm25_df, rrf_fusion, select_state, cosine_match,
     softmax_temperature, fit_temperature, ece15, ece10_right, brier_nll, auroc, auprc, risk_coverage, ranking_quality, lane_agreement, observation_features, trust_policy, decile_risk, logistic_risk, slot_states, compile_calls,
-    request_validation, exact_lane, lane_counts, latest_requests, input_tokens, fact_age, seen_within, ema_reliability, user_reliability, trigger_decay, pairwise_potential, state_texts,
+    request_validation, exact_lane, lane_counts, latest_requests, input_tokens, fact_age, seen_within, ema_reliability, user_reliability, trigger_decay, pairwise_potential, state_texts, multiclass_losses, coverage_at_risk, prefix_curve, curve_points, latency_p95, label_accuracy, winner_agreement, sign_accuracy, relation_crosstab,
+    top_set_agreement, full_order_agreement, certificate_counts, margin_bins, lane_divergence, calibration_radius, graph_degrees, graph_components, bootstrap_interval, noise_stability, trust_controls, system_one, text_match,
 )}
 
 _GRADED = "(SELECT obs_id, risk, 1 - risk AS confidence, CASE WHEN n_required_missing + n_ambiguous > 0 THEN 1 ELSE 0 END AS error FROM observations WHERE risk IS NOT NULL)"
@@ -405,4 +526,28 @@ SQL = {
     "pairwise_potential": f"""SELECT a.obs_id, a.pos, round(coalesce(avg(0.5 * ((a.semantic - b.semantic) - (b.semantic - a.semantic))), 0), 6) AS potential FROM {_LANES} a LEFT JOIN {_LANES} b ON a.obs_id = b.obs_id AND a.pos <> b.pos GROUP BY 1, 2""",
     "decile_risk": f"""WITH g AS {_GRADED}, q AS (SELECT quantile_cont(confidence, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM g), b AS (SELECT obs_id, error, len(list_filter(e, lambda x: confidence >= x)) AS bin FROM g, q)
         SELECT obs_id, round(avg(error) OVER (PARTITION BY bin), 6) AS decile_risk FROM b""",
+    "multiclass_losses": f"""WITH l AS (SELECT obs_id, pos, exp((semantic - max(semantic) OVER w) / 0.05::DOUBLE) AS x, row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) = 1 AS y FROM {_LANES} WINDOW w AS (PARTITION BY obs_id)), p AS (SELECT *, x / sum(x) OVER (PARTITION BY obs_id) AS p FROM l),
+        o AS (SELECT obs_id, sum((p - CASE WHEN y THEN 1 ELSE 0 END) ** 2) AS b, max(CASE WHEN y THEN -ln(greatest(p, 1e-12)) END) AS n FROM p GROUP BY 1) SELECT round(avg(b), 6) AS brier, round(avg(n), 6) AS nll FROM o""",
+    "coverage_at_risk": f"""WITH r AS (SELECT avg(risk) OVER (ORDER BY risk, obs_id ROWS UNBOUNDED PRECEDING) AS m, row_number() OVER (ORDER BY risk, obs_id) AS i, count(*) OVER () AS n FROM {_GRADED}),
+        g AS (SELECT unnest([0.01, 0.02, 0.05, 0.10, 0.15, 0.20])::DOUBLE AS rate) SELECT rate, round(coalesce(max(CASE WHEN m <= rate + 1e-12 THEN i END), 0) / max(n)::DOUBLE, 4) AS coverage FROM g, r GROUP BY 1""",
+    "prefix_curve": f"""WITH r AS (SELECT risk AS threshold, count(*) OVER (ORDER BY risk) AS k, sum(error) OVER (ORDER BY risk) AS f, count(*) OVER () AS n FROM {_GRADED}) SELECT DISTINCT k, round(k / n::DOUBLE, 6) AS coverage, round(f / k::DOUBLE, 6) AS risk, threshold FROM r""",
+    "curve_points": f"""WITH r AS (SELECT DISTINCT count(*) OVER (ORDER BY risk) / (count(*) OVER ())::DOUBLE AS c, sum(error) OVER (ORDER BY risk) / (count(*) OVER (ORDER BY risk))::DOUBLE AS r FROM {_GRADED})
+        SELECT 'risk at 0.5' AS point, round(arg_min(r, (abs(c - 0.5), c)), 6) AS value FROM r UNION ALL SELECT 'coverage at 0.6', round(coalesce(max(CASE WHEN r <= 0.6 THEN c END), 0), 6) FROM r""",
+    "latency_p95": "WITH e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT value FROM e WHERE i = least(n - 1, floor(0.95 * n)::BIGINT)",
+    "label_accuracy": "WITH r AS (SELECT floor(l_quantity / 10)::INT AS y, floor(l_extendedprice / 12000)::INT AS p FROM lineitem) SELECT count(*) AS n, round(avg((p = y)::INT), 6) AS accuracy, round(avg((abs(p - y) <= 1)::INT), 6) AS within_one FROM r WHERE y IS NOT NULL",
+    "winner_agreement": f"WITH l AS (SELECT obs_id, arg_min(pos, (-semantic, pos)) AS s, arg_min(pos, (-bm25, pos)) AS b FROM {_LANES} WHERE semantic IS NOT NULL AND bm25 IS NOT NULL GROUP BY 1) SELECT count(*) AS decisions, round(avg((s = b)::INT), 6) AS agreement FROM l",
+    "sign_accuracy": f"SELECT count(*) AS pairs, round(avg((sign(x.semantic - y.semantic) = sign(x.bm25 - y.bm25))::INT), 6) AS accuracy FROM {_LANES} x JOIN {_LANES} y ON x.obs_id = y.obs_id AND x.pos < y.pos WHERE x.semantic <> y.semantic",
+    "relation_crosstab": """SELECT CASE WHEN semantic[1] - semantic[2] > 0.15::DOUBLE THEN 1 WHEN semantic[2] - semantic[1] > 0.15::DOUBLE THEN -1 ELSE 0 END AS before, CASE WHEN bm25[1] - bm25[2] > 0.15::DOUBLE THEN 1 WHEN bm25[2] - bm25[1] > 0.15::DOUBLE THEN -1 ELSE 0 END AS after, count(*) AS n FROM observations WHERE len(semantic) > 1 AND len(bm25) > 1 GROUP BY 1, 2""",
+    "top_set_agreement": f"""WITH l AS (SELECT *, max(semantic) OVER (PARTITION BY obs_id) = semantic AS top, row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) = 1 AS win FROM {_LANES} WHERE semantic IS NOT NULL AND bm25 IS NOT NULL),
+        g AS (SELECT obs_id, max((top AND win)::INT) AS hit, avg(top::INT) AS chance FROM l GROUP BY 1) SELECT count(*) AS decisions, round(avg(hit), 6) AS agreement, round(avg(chance), 6) AS chance FROM g""",
+    "full_order_agreement": f"""WITH l AS (SELECT obs_id, row_number() OVER (PARTITION BY obs_id ORDER BY semantic DESC, pos) = row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) AS same FROM {_LANES} WHERE semantic IS NOT NULL AND bm25 IS NOT NULL),
+        g AS (SELECT obs_id, bool_and(same)::INT AS same FROM l GROUP BY 1) SELECT count(*) AS decisions, round(avg(same), 6) AS agreement FROM g""",
+    "certificate_counts": f"""WITH l AS (SELECT obs_id, max(semantic) OVER (PARTITION BY obs_id) - semantic AS gap FROM {_LANES} WHERE semantic IS NOT NULL AND bm25 IS NOT NULL), g AS (SELECT obs_id, count_if(gap + 0.03::DOUBLE <= 0.15::DOUBLE OR gap = 0) AS kept, count_if(gap - 0.03::DOUBLE > 0.15::DOUBLE AND gap <> 0) AS dropped, count(*) AS n FROM l GROUP BY 1)
+        SELECT kept + dropped = n AS certified, count(*) AS n, sum(kept)::BIGINT AS kept, sum(dropped)::BIGINT AS dropped, sum(n - kept - dropped)::BIGINT AS open FROM g GROUP BY 1""",
+    "margin_bins": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY semantic DESC, pos) AS r, row_number() OVER (PARTITION BY obs_id ORDER BY bm25 DESC, pos) AS q FROM {_LANES}), f AS (SELECT obs_id, max(CASE WHEN r = 1 THEN semantic END) - coalesce(max(CASE WHEN r = 2 THEN semantic END), max(semantic)) AS m, max((r = 1 AND q = 1)::INT) AS agree FROM l GROUP BY 1)
+        SELECT (m >= 0.01::DOUBLE)::INT + (m >= 0.05::DOUBLE)::INT + (m >= 0.1::DOUBLE)::INT AS bin, count(*) AS n, round(avg(agree), 6) AS agreement FROM f GROUP BY 1""",
+    "lane_divergence": f"""WITH l AS (SELECT *, max(semantic) OVER (PARTITION BY obs_id) AS m FROM {_LANES}), e AS (SELECT obs_id, exp((semantic - m) / 0.1::DOUBLE) AS a, exp((semantic - m) / 0.2::DOUBLE) AS b FROM l), p AS (SELECT obs_id, a / sum(a) OVER (PARTITION BY obs_id) AS t, b / sum(b) OVER (PARTITION BY obs_id) AS s FROM e)
+        SELECT obs_id, round(sum(CASE WHEN t > 0 THEN t * (ln(t) - ln(greatest(s, 1e-12))) ELSE 0 END), 6) AS kl FROM p GROUP BY 1""",
+    "calibration_radius": f"WITH e AS (SELECT abs(risk - error) AS v, row_number() OVER (ORDER BY abs(risk - error)) - 1 AS i, count(*) OVER () AS n FROM {_GRADED}) SELECT round(v, 9) AS radius FROM e WHERE i = least(n - 1, floor(0.999 * n)::BIGINT)",
+    "graph_degrees": "WITH e AS (SELECT o_custkey AS v FROM orders UNION ALL SELECT -o_orderkey FROM orders), g AS (SELECT v, count(*) AS d FROM e GROUP BY 1) SELECT (sum(d) / 2)::BIGINT AS edges, count(*) AS nodes, max(d) AS max_degree FROM g",
 }

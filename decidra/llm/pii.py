@@ -1,9 +1,12 @@
 """Personal information inside free text: detection, typed placeholders, and keyed surrogates.
 
-Patterns of formats find e-mail addresses, phone numbers, identity numbers and street addresses; names are found by given
-names and by the phrases that introduce a person. Each entity gets a surrogate from a keyed hash: the same entity in
-another spelling (case, order, spacing) gets the same one wherever it occurs, numbers keep their layout, names the gender
-of their given name and the case of their letters. A check over all entities parts those whose surrogates collide.
+Patterns of formats find e-mail addresses, phone numbers, identity numbers and street addresses. Full names are found by
+evidence that adds up: a given name of a general list, a phrase or title that introduces a person, a closing formula in
+front, a verb of persons behind, an e-mail address in the same text whose local part spells the name, and a name found
+next to it. Each entity gets a surrogate from a keyed hash: the same entity in another spelling (case, order, spacing) gets
+the same one wherever it occurs; numbers keep layout, width and leading zeros, addresses their form and postal code, names
+the gender of their given name, order and case. A check over all entities parts those whose surrogates collide, and only
+checked surrogates are written into texts.
 """
 
 from __future__ import annotations
@@ -18,9 +21,28 @@ from pyspark.sql import functions as F
 
 from decidra.session import cut_lineage
 
-# Given names by gender (f, m); longer lists can be passed in.
-GIVEN_F = "Greta Elisa Ilva Liora Clara Rhea Nora Sanne Thea Léa Mirela Zoë Nadja Dora Noémie Paula Marla Ines Wanda Freya Selma Åsa Vera Maren"
-GIVEN_M = "Iñigo Joren Anton Rufus Silas Jonas Tomas Oskar Orin Victor Felix Tavik Luca Aldo Henrik Pavel Jürgen Kasper Emil Matteo Yannick Bram"
+# Common given names of many countries by gender (f, m); longer lists can be passed in.
+GIVEN_F = (
+    "Greta Elisa Ilva Liora Clara Rhea Nora Sanne Thea Léa Mirela Zoë Nadja Dora Noémie Paula Marla Ines Wanda Freya Selma Åsa Vera Maren "
+    "Ada Agnes Aisha Alice Alicia Amanda Amelia Amina Amy Ana Andrea Angela Anita Anja Anna Anne Annika Antonia Astrid Barbara Beatriz Birgit Brigitte Camila Camille Carla Carmen Carolina Caroline "
+    "Catarina Cécile Charlotte Chiara Chloé Christine Claudia Cristina Daniela Deborah Diana Dorothea Elena Eleonora Elif Elizabeth Ella Elsa Emilia Emily Emma Esther Eva Fatima Federica Fernanda Fiona "
+    "Francesca Françoise Gabriela Giulia Hanna Hannah Heidi Helen Helena Helga Ida Ingrid Irene Isabel Isabella Jana Jane Jennifer Jessica Joana Johanna Julia Juliette Karen Karin Katarina Katharina Kavita "
+    "Kristina Lara Larissa Laura Leila Lena Leonie Lidia Linda Lisa Lotte Louise Lucía Lucie Lucy Luisa Magdalena Manon Margaret Margarida María Maria Mariana Marie Marta Martina Mary Mathilde Megan Mei Melissa "
+    "Mia Michelle Mónica Monika Nadia Natalia Nicole Nina Olga Olivia Patricia Petra Priya Rachel Rebecca Renata Rosa Ruth Sabine Sandra Sara Sarah Saskia Silvia Simone Sofia Sofía Sonia Sophie Stefanie Susan "
+    "Svetlana Sylvie Tamara Tanja Tatiana Teresa Ursula Valentina Valeria Veronica Victoria Yasmin Yuki Zara"
+)
+GIVEN_M = (
+    "Iñigo Joren Anton Rufus Silas Jonas Tomas Oskar Orin Victor Felix Tavik Luca Aldo Henrik Pavel Jürgen Kasper Emil Matteo Yannick Bram "
+    "Aaron Abdul Adam Adrian Ahmed Alan Alberto Alejandro Alessandro Alex Alexander Ali Anders Andreas Andrew Angelo Antoine António Antonio Arjun Arthur Axel Barack Benjamin Bernd Björn Boris Bruno Carlos Charles "
+    "Christian Christoph Claude Daniel Dario David Davide Diego Dieter Dmitri Edward Enrico Eric Erik Ernesto Étienne Fabian Fabio Federico Fernando Filip Florian Francesco Francisco François Franz Frederik Fritz "
+    "Gabriel Georg George Gérard Giorgio Giovanni Giuseppe Gregor Guido Günter Gustav Hans Harald Hassan Heinrich Helmut Henry Hiroshi Hugo Ibrahim Igor Ivan Jacob Jakob James Jan Jason Javier Jens Jeroen João "
+    "Joaquín Joe Johan Johann Johannes John Jorge José Joseph Joshua Juan Julian Julien Jun Karl Kenji Kevin Klaus Konrad Kurt Lars Laurent Leo Leon Leonardo Lorenzo Luc Lucas Luigi Luis Lukas Maarten Magnus "
+    "Manuel Marc Marcel Marco Mario Martin Matthew Matthias Maurice Michael Michel Miguel Mikael Mohammed Moritz Nicolas Niels Nikolai Nils Noah Olaf Oleg Oliver Olivier Omar Otto Pablo Paolo Patrick Paul Pedro "
+    "Peter Philip Philippe Pierre Rafael Rahul Rainer Rajesh Ralf Raúl René Ricardo Richard Robert Roberto Rolf Ruben Samuel Sebastian Sergei Sergio Simon Stefan Stéphane Steven Sven Takeshi Thomas Tim Timo "
+    "Tobias Ulrich Vincent Vladimir Walter Werner William Wolfgang Yusuf"
+)
+# Given names that are words as well, which in small letters count behind a phrase that introduces a person only.
+ALSO_WORDS = "ada alan ali alex angelo claude dario joe jun jan jana lara leo linda luc max mei mia mary nils nina noah otto paul peter rosa ruth sara sandra simon sven tim timo jane marc marie andrea guido konrad".split()
 # Phrases and titles right before a person's full name.
 INTRODUCTIONS = (
     "My name is|Je m[’']appelle|Me llamo|Mein Name ist|Mi chiamo|Chamo-me|Jag heter|Mijn naam is|filled in by|gehört|belongs to|tillhör|"
@@ -28,6 +50,15 @@ INTRODUCTIONS = (
     r"Mr\.|Mrs\.|Ms\.|Dr\.|Herr(?: Dr\.)?|Frau(?: Dr\.)?|Mme|Mlle|La Sra\.|El Sr\.|"
     r"\"who\": \""
 )
+# Closing formulas and requests with a person's full name behind, and verbs of persons behind one.
+CLOSINGS = (
+    "Regards|Best regards|Kind regards|Sincerely|Yours|Thanks|Cheers|Contact|contact|Signed|signed by|Grüße|Viele Grüße|Mit freundlichen Grüßen|Kontakt|Cordialement|Bien à vous|Saludos|Un saludo|Atentamente|"
+    "Cordiali saluti|Saluti|Atenciosamente|Abraços|Groeten|Met vriendelijke groet|Hälsningar|Med vänliga hälsningar"
+)
+PERSON_VERBS = (
+    "lives|lived|works|worked|called|wrote|writes|met|meets|phoned|says|said|asked|asks|replied|signed|moved|wohnt|arbeitet|schrieb|traf|sagt|habite|travaille|écrit|rencontra|vive|trabaja|escribió|abita|lavora|"
+    "ha scritto|mora|trabalha|escreveu|woont|werkt|schreef|bor|arbetar|skrev"
+)
 _TITLES = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr|M|Sig|sig)\.|Herr|Frau|Mme|Mlle|Monsieur|Madame|de heer|mevrouw)"
 _W = "A-Za-z0-9À-ÖØ-öø-ɏ"
 _AT, _ATX = r"(?:@|＠| @ | ＠ | ?\(at\) ?| ?\[at\] ?)", r" at "
@@ -77,27 +108,88 @@ _SUR = rf"(?:(?:van\s+der|van\s+den|van|von|de|di|da|del|VAN\s+DER|VON|DE)\s+)?(
 _SUR_LOW = rf"(?:(?:van\s+der|van\s+den|van|von|de|di|da|del)\s+)?(?:o[’']|d[’'])?{_L}{{3,}}(?:-{_L}+)*"
 
 
-def name_patterns(given: list[str]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Full names with a known given name, names behind a phrase that introduces a person, and any given name."""
-    proper = "|".join(sorted({v for n in given for v in (n, n.upper())}, key=lambda v: (-len(v), v)))
-    lower = "|".join(sorted({n.lower() for n in given}, key=lambda v: (-len(v), v)))
-    ahead, behind = rf"(?:(?<![\w@＠.+\-])|(?<=[a-z0-9][.!?])(?=[{_UP}]))", r"(?![\w@＠])(?!\.[a-z0-9])"
-    known = (
-        rf"{ahead}(?:{proper})(?:\s(?:{proper}))?(?:\s[{_UP}]\.)?\s{_SUR}{behind}"
-        rf"|{ahead}(?:{_SUR},[ \u00a0]|(?<![\n]){_SUR},\n)(?:{proper})(?:\s(?:{proper})|\s[{_UP}]\.)?(?![\w@＠])(?!\s{_SUR}\s(?:{_EN})\b)"
-        rf"|{ahead}(?:{lower})(?:\s(?:{lower}))?(?:\s[a-z]\.)?\s{_SUR_LOW}{behind}"
-        rf"|{ahead}{_L}{{4,}}(?:-{_L}+)*,[ \u00a0](?:{lower})(?:\s(?:{lower}))?(?![\w@＠])"
-    )
-    word = rf"[{_UP}]{_L}+(?:-[{_UP}]{_L}+)*"
-    told = rf"(?<!\w)(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{word}(?:\s[{_UP}]\.|\s{word})?\s{_SUR})(?![\w@＠])"
-    return re.compile(known), re.compile(told), re.compile(rf"{proper}|{lower}")
+_AHEAD, _BEHIND = re.compile(rf"(?<![\w@＠.+\-])|(?<=[a-z0-9][.!?])(?=[{_UP}])"), r"(?![\w@＠])(?!\.[a-z0-9])"
+_WORDS = re.compile(rf"{_L}+")
+_REST, _REST_LOW = re.compile(rf"(?:\s[{_UP}]\.)?\s{_SUR}{_BEHIND}"), re.compile(rf"(?:\s[a-z]\.)?\s{_SUR_LOW}{_BEHIND}")
+_LAST, _LAST_LOW = re.compile(rf"(?:{_SUR},[ \u00a0]|(?<![\n]){_SUR},\n)\Z"), re.compile(rf"{_L}{{4,}}(?:-{_L}+)*,[ \u00a0]\Z")
+_AFTER, _AFTER_LOW = re.compile(rf"(?:\s[{_UP}]\.)?(?![\w@＠])(?!\s{_SUR}\s(?:{_EN})\b)"), re.compile(r"(?![\w@＠])")
+_FULL = rf"[{_UP}]{_L}+(?:-[{_UP}]{_L}+)*(?:\s[{_UP}]\.|\s[{_UP}]{_L}+(?:-[{_UP}]{_L}+)*)?\s{_SUR}"
+
+
+class Names:
+    """Finds full names; built once per task."""
+
+    def __init__(self, given: list[str]) -> None:
+        self.proper = {v for n in given for v in (n, n.upper())}
+        self.lower, self.unsure = {n.lower() for n in given}, set(ALSO_WORDS)
+        self.closings = {w.split()[-1] for w in CLOSINGS.split("|")} | set(CLOSINGS.split("|"))
+        self.led = re.compile(rf"(?<!\w)(?:{INTRODUCTIONS}|{CLOSINGS})[,:]?\s?(?:{_TITLES}\s)*\Z")
+        self.any = self.proper | self.lower
+        self.told = re.compile(rf"(?<!\w)(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{_FULL})(?![\w@＠])")
+        self.closed = re.compile(rf"(?<![\w])(?:{CLOSINGS})(?:[,:]\s{{0,2}}|\s)(?:{_TITLES}\s)*(?P<told>{_FULL})(?=\s*(?:\n|\Z|[.,;])|\s[a-z])")
+        self.verb = re.compile(rf"(?<![\w@.'’&-])(?P<told>{_FULL})(?=\s(?:{PERSON_VERBS})\b)")
+        self.verbs = re.compile(rf"\s(?:{PERSON_VERBS})\b")
+
+    def by_given(self, text: str) -> list[tuple[int, int]]:
+        """Names with a known given name, in either order."""
+        found, upto = [], 0
+        for m in _WORDS.finditer(text):
+            word, (a, b) = m[0], m.span()
+            if a < upto or word not in self.any:
+                continue
+            small = word in self.lower
+            if word in self.unsure and not self.led.search(text, max(0, a - 40), a):
+                continue
+            known = self.lower if small else self.proper
+            second = _WORDS.match(text, b + 1) if text[b : b + 1].isspace() else None
+            second = second.end() if second and second[0] in known else None
+            if text[a - 2 : a - 1] == "," or text[a - 1 : a] == ",":
+                low = max(upto, a - 80)
+                last = self._before(_LAST_LOW if small else _LAST, text[low:a])
+                if last is not None and _AHEAD.match(text, low + last) and text[low + last : a].split(",")[0] not in self.closings:
+                    end = second if second and _AFTER_LOW.match(text, second) else b
+                    if rest := (_AFTER_LOW if small else _AFTER).match(text, end):
+                        found.append((low + last, rest.end()))
+                        upto = rest.end()
+                        continue
+            if _AHEAD.match(text, a):
+                forward = _REST_LOW if small else _REST
+                if rest := (forward.match(text, second) if second else None) or forward.match(text, b):
+                    found.append((a, rest.end()))
+                    upto = rest.end()
+        return found
+
+    @staticmethod
+    def _before(pattern: re.Pattern, text: str) -> int | None:
+        """Where the longest match that ends with the text begins."""
+        m = pattern.search(text)
+        return m.start() if m else None
+
+    def by_context(self, text: str, mails: list[str]) -> list[tuple[int, int]]:
+        """Names behind a phrase, before a verb of persons, or spelled by an e-mail address of the text."""
+        found = [m.span("told") for m in self.told.finditer(text)]
+        found += [m.span("told") for m in self.closed.finditer(text)]
+        if self.verbs.search(text):
+            found += [m.span("told") for m in self.verb.finditer(text) if m["told"].split()[0] not in _NO_GIVEN]
+        for mail in mails:
+            parts = [p for p in re.split(r"[._\-]+", re.split(r"[@＠(\[ ]", mail)[0]) if len(p) > 1 and p.isalpha()]
+            if len(parts) == 2:
+                for m in re.finditer(rf"(?<!\w)(?:{re.escape(parts[0])}\s{re.escape(parts[1])}|{re.escape(parts[1])},\s{re.escape(parts[0])})(?![\w@])", text, re.I):
+                    if all(w[:1].isupper() for w in m[0].split()):
+                        found.append(m.span())
+        return found
 
 
 #: Words that are no surname though they follow a given name or a phrase.
+# Words that begin a capitalised phrase before a verb without being a given name.
+_NO_GIVEN = frozenset("The This That These Those A An Our Your My His Her Its We They It No New Old Order Ticket Team Carrier Support Customer Service Der Die Das Le La Les El Los Il Lo Gli O Os De Het Den Det".split())
 _NO_NAME = re.compile(r"\b(?:" + _EN + r"|Inc|Ltd|GmbH|SARL|S\.A|Partners|AG|BV|AB|Street)\b")
 
 
-def find(text: str, known: re.Pattern, told: re.Pattern, given: re.Pattern) -> list[tuple[int, int, str]]:
+_ANY_DIGIT, _FIRM = re.compile(rf"[{_D}]"), re.compile(r"\s(?:Inc|Ltd|GmbH|SARL|S\.A|&)\b")
+
+
+def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each item from left to right; where items overlap, the earlier kind in the order below wins."""
     taken: list[tuple[int, int, str]] = []
 
@@ -105,24 +197,24 @@ def find(text: str, known: re.Pattern, told: re.Pattern, given: re.Pattern) -> l
         if all(b <= x or a >= y for x, y, _ in taken):
             taken.append((a, b, kind))
 
+    mails = []
     if "@" in text or "＠" in text or "at" in text:
         for m in EMAIL.finditer(text):
             add(*m.span(), "email")
-    if re.search(rf"[{_D}]", text):
+            mails.append(m[0])
+    if _ANY_DIGIT.search(text):
         for m in ADDRESS.finditer(text):
             add(*m.span(), "address")
-        for m in ID_NUMBER.finditer(text):
-            if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
-                add(*m.span(), "id_number")
-        for m in PHONE.finditer(text):
-            if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
-                add(*m.span(), "phone")
-    for m in known.finditer(text) if given.search(text) else ():
-        if not _NO_NAME.search(m[0]) and not re.match(r"\s(?:Inc|Ltd|GmbH|SARL|S\.A|&)\b", text[m.end() : m.end() + 8]):
-            add(*m.span(), "name")
-    for m in told.finditer(text):
-        if not _NO_NAME.search(m["told"]):
-            add(*m.span("told"), "name")
+        for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE)):
+            for m in pattern.finditer(text):
+                if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
+                    add(*m.span(), kind)
+    for a, b in names.by_given(text):
+        if not _NO_NAME.search(text, a, b) and not _FIRM.match(text, b):
+            add(a, b, "name")
+    for a, b in names.by_context(text, mails):
+        if not _NO_NAME.search(text, a, b):
+            add(a, b, "name")
     return sorted(taken)
 
 
@@ -141,34 +233,72 @@ def canonical(kind: str, text: str) -> str:
 
 # Syllables of surrogate names and streets.
 _HEADS, _TAILS = "Ba Ce Di Fo Ga He Ju Ka Lo Mi Ne Po Ri Su Ta Vo".split(), "bel dan fir gor len mas nor pek ras sil tor vin wal zed kim lud".split()
+_HOST_PART = re.compile(r"(@|＠| @ | ＠ | ?\(at\) ?| ?\[at\] ?| at )(.*)", re.S)
+_CAPITALISED = re.compile(rf"[{_UP}]{_L}+")
+# Endings of street names, kept in surrogates.
+_STREET_END = re.compile("(straße|strasse|str|gasse|weg|allee|platz|straat|laan|gracht|gatan|vägen)$", re.I)
+# Words of addresses that are no names and stay.
+_KEPT = frozenset(
+    f"{_EN} Flat Apt Unit rue av avenue chemin boulevard bd place allée bis ter des de du la le les Calle Avda Avenida Av Plaza Paseo Via Viale Piazza Corso V Rua R Travessa da do di del della C in".replace("|", " ").casefold().split()
+)
+
+
+def _digit(ch: str, shift: int, low: int = 0) -> str:
+    """Another digit of the same width; not below ``low``."""
+    base = ord("０") if ch >= "０" else ord("0")
+    return chr(base + low + (ord(ch) - base + shift) % (10 - low))
 
 
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, female: frozenset[str] = frozenset(w.casefold() for w in GIVEN_F.split())) -> str:
-    """A replacement of the same kind: digits for digits in the same layout, a name of the same gender and letter case."""
+    """A replacement of the same kind and form, from a keyed hash of the canonical form and the number of the attempt.
+
+    Numbers keep their layout, the width of their digits and leading zeros; addresses their words, layout and postal
+    code; e-mail addresses the way they are written; names the gender of their given name, the order and the letter case.
+    """
     digest = hmac.new(key, f"{kind}|{canonical(kind, text)}|{attempt}".encode(), hashlib.blake2b).digest()
-    made = lambda k: _HEADS[digest[k] % 16] + _TAILS[digest[k + 1] % 16] + _TAILS[digest[k + 2] % 16]
+    made = lambda k: _HEADS[digest[k % 61] % 16] + _TAILS[digest[(k + 1) % 61] % 16] + _TAILS[digest[(k + 2) % 61] % 16]
+    more = "".join(_TAILS[digest[10 + k % 54] % 16] for k in range(2 * attempt))  # each attempt has more values than the one before
     if kind in ("phone", "id_number"):
-        digits, k = [], 0
+        out, k = [], 0
         for ch in text:
             if ch.isdigit():
                 k += 1
-                ch = str((int(ch) + digest[k % 64] + k) % 10)
+                ch = ch if ch in "0０" and k == 1 else _digit(ch, digest[k % 64] + k)
             elif ch.isalpha():
                 k += 1
-                ch = chr(65 + digest[k % 64] % 26)
-            digits.append(ch)
-        return "".join(digits)
-    more = "".join(_TAILS[digest[10 + k % 54] % 16] for k in range(2 * attempt))  # each attempt has more values than the one before
+                ch = chr((65 if ch.isupper() else 97) + digest[k % 64] % 26)
+            out.append(ch)
+        return "".join(out)
     if kind == "email":
-        return f"{made(0)}.{made(3)}{more}{digest[9]}@example.org".lower()
+        host = _HOST_PART.search(text)
+        local = f"{made(0)}.{made(3)}{more}{digest[9]}".lower()
+        dot = next((d for d in (" [dot] ", "[dot]", " (dot) ", "(dot)", " dot ") if d in text), ".")
+        plain = f"{local}{host[1] if host else '@'}example{dot}org"
+        return plain.upper() if text.isupper() else plain
     if kind == "address":
-        return f"{digest[0] % 250 + 1} {made(1)}{more} Street, {made(4)}"
-    first = canonical(kind, text).split(" ")[0]
-    pool = GIVEN_F.split() if first in female else GIVEN_M.split()
-    name = f"{pool[digest[0] % len(pool)]} {made(1)}{_TAILS[digest[4] % 16]}{more}"
+        count = iter(range(1, 10_000))
+        word = lambda m: _street(m[0], made(3 * next(count)))
+        out = _CAPITALISED.sub(word, text)
+        cut = out.find(" ")
+        out = re.sub(r"[0-9]+", lambda m: "".join(_digit(c, digest[next(count) % 64], int(i == 0 and c != "0")) for i, c in enumerate(m[0])), out)
+        return out if not more else out[:cut] + (more if out[cut - 1 : cut].isalpha() else " " + more.capitalize()) + out[cut:]
+    canon = canonical(kind, text)
+    pool = GIVEN_F.split() if canon.split(" ")[0] in female else GIVEN_M.split()
+    first, last = pool[digest[0] % len(pool)], f"{made(1)}{_TAILS[digest[4] % 16]}{more}"
+    comma = re.search(r",\s", text)
+    name = f"{last}{comma[0]}{first}" if comma else f"{first} {last}"
     return name.upper() if text.isupper() else name.lower() if text.islower() else name
 
 
+def _street(word: str, other: str) -> str:
+    """A capitalised word of an address in another wording, with the ending of its kind of street and its case."""
+    if word.casefold() in _KEPT:
+        return word
+    end = _STREET_END.search(word)
+    out = other + end[0].lower() if end and end.start() > 0 else other
+    return out.upper() if word.isupper() else out
+
+
 ENTITIES = "array<struct<kind:string,start:int,end:int,text:string,entity:string,surrogate:string>>"
 
 
@@ -178,16 +308,14 @@ def detect(df: DataFrame, text_col: str, key: bytes = b"decidra", given: tuple[s
     Null texts give null, texts without any an empty array; texts are read whole, repeated rows stay repeated, an existing
     ``out_col`` is replaced, and all other columns are kept. ``given`` adds given names to the built-in ones.
     """
-    names = [*GIVEN_F.split(), *GIVEN_M.split(), *given]
-
-    patterns = name_patterns(names)
+    names = Names([*GIVEN_F.split(), *GIVEN_M.split(), *given])
 
     @F.arrow_udf(ENTITIES)  # type: ignore[attr-defined]
     def run(texts: pa.Array) -> pa.Array:
         rows, offsets, missing = [], [0], []
         for t in texts.to_pylist():
             if t is not None:
-                rows += [(k, a, b, t[a:b], canonical(k, t[a:b]), surrogate(k, t[a:b], key)) for a, b, k in find(t, *patterns)]
+                rows += [(k, a, b, t[a:b], canonical(k, t[a:b]), surrogate(k, t[a:b], key)) for a, b, k in find(t, names)]
             offsets.append(len(rows))
             missing.append(t is None)
         columns = list(zip(*rows)) if rows else [[]] * 6
@@ -199,14 +327,14 @@ def detect(df: DataFrame, text_col: str, key: bytes = b"decidra", given: tuple[s
 
 
 def distinct_surrogates(found: DataFrame, key: bytes = b"decidra", out_col: str = "entities", rounds: int = 8) -> DataFrame:
-    """The collision check: (kind, entity, surrogate) of all entities, with surrogates distinct between entities.
+    """The collision check: (kind, entity, surrogate, attempt) of all entities, with surrogates distinct between entities.
 
     Entities of which two have one surrogate are few; all but the first by canonical form are hashed again, with the
     number of the attempt, until none collide; names, e-mail and street addresses grow with it. What still collides after
     ``rounds`` raises an error: numbers keep their layout, which may have fewer values than entities. Only (kind, entity) pairs are shuffled, grouped before they are compared.
     """
     flat = found.select(F.explode(F.col(f"`{out_col}`")).alias("e"))
-    kept = flat.groupBy(F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity")).agg(F.min("e.text").alias("text"), F.min("e.surrogate").alias("surrogate"))
+    kept = flat.groupBy(F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity")).agg(F.min("e.text").alias("text"), F.min("e.surrogate").alias("surrogate"), F.lit(0).alias("attempt"))
 
     def again(attempt: int):
         @F.pandas_udf("string")  # type: ignore[call-overload]
@@ -223,22 +351,48 @@ def distinct_surrogates(found: DataFrame, key: bytes = b"decidra", out_col: str
         if attempt == rounds:
             raise ValueError(f"surrogates that still collide after {rounds} rounds: {first.limit(5).collect()}")
         clash = kept.alias("k").join(first.alias("f"), (F.col("k.kind") == F.col("f.kind")) & (F.lower("k.surrogate") == F.col("f.s")) & (F.col("k.entity") > F.col("f.first")), "left")
-        kept = cut_lineage(clash.select("k.kind", "k.entity", "k.text", F.when(F.col("f.s").isNotNull(), again(attempt)(F.col("k.kind"), F.col("k.text"))).otherwise(F.col("k.surrogate")).alias("surrogate")))
+        kept = cut_lineage(clash.select("k.kind", "k.entity", "k.text", F.when(F.col("f.s").isNotNull(), again(attempt)(F.col("k.kind"), F.col("k.text"))).otherwise(F.col("k.surrogate")).alias("surrogate"), F.when(F.col("f.s").isNotNull(), attempt).otherwise(F.col("k.attempt")).alias("attempt")))
     return kept.drop("text")
 
 
-def redact(found: DataFrame, text_col: str, entities_col: str = "entities", out_col: str = "redacted", surrogates: bool = False) -> DataFrame:
+def checked(df: DataFrame, id_col: str, text_col: str, key: bytes = b"decidra", given: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kind, start, end, text, entity, surrogate): every entity of every text, with surrogates that passed the check.
+
+    ``id_col`` tells the texts apart; rows whose text is null or holds nothing give no row. Detection runs once: its rows
+    are kept by a checkpoint, grouped by (kind, entity) for the check, and joined with what the check gives.
+    """
+    once = detect(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_t")), "_t", key, given, "_e")
+    flat = cut_lineage(once.select("id", F.explode("_e").alias("e")).select("id", "e.*"))
+    kept = distinct_surrogates(flat.select(F.array(F.struct("kind", "start", "end", "text", "entity", "surrogate")).alias("entities")), key)
+
+    @F.pandas_udf("string")  # type: ignore[call-overload]
+    def spelled(kind: pd.Series, text: pd.Series, own: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, t, key, int(n)) if n else o for k, t, o, n in zip(kind, text, own, attempt)], dtype=object)
+
+    both = flat.join(kept.select("kind", "entity", "attempt"), ["kind", "entity"])  # each spelling in its own order and case
+    return both.select("id", "kind", "start", "end", "text", "entity", spelled("kind", "text", "surrogate", "attempt").alias("surrogate"))
+
+
+def with_surrogates(df: DataFrame, id_col: str, text_col: str, key: bytes = b"decidra", out_col: str = "redacted") -> DataFrame:
+    """Adds the text with each entity replaced by its checked surrogate. Ids must be unique; null texts stay null."""
+    entities = checked(df, id_col, text_col, key).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "text", "entity", "surrogate"))).alias("_e"))
+    rows = df.join(entities.withColumnRenamed("id", id_col), id_col, "left")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,text:string,entity:string,surrogate:string>>)")
+    return redact(rows.withColumn("_e", F.coalesce("_e", none)), text_col, "_e", out_col, surrogates=True).drop("_e")
+
+
+def redact(found: DataFrame, text_col: str, entities_col: str = "entities", out_col: str = "redacted", surrogates: bool = False, key: str = "decidra") -> DataFrame:
     """Adds the text with each entity replaced by its typed placeholder ``[KIND_code]`` or by its surrogate; all else is unchanged.
 
-    The placeholder's code is the whole SHA-256 of the canonical form: one entity has one code everywhere, and different
-    ones never share it in practice. The surrogates are those of ``entities_col``, which are not checked for collisions.
-    Null texts stay null.
+    The placeholder's code is a SHA-256 of the key and the canonical form: one entity has one code everywhere, different
+    ones never share it in practice, and without the key none can be guessed. The surrogates are those of
+    ``entities_col``, as ``with_surrogates`` has checked them. Null texts stay null.
     """
     text, entities = F.col(f"`{text_col}`"), F.col(f"`{entities_col}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, e):
-        mark = e["surrogate"] if surrogates else F.concat(F.lit("["), F.upper(e["kind"]), F.lit("_"), F.sha2(F.concat_ws("|", e["kind"], e["entity"]), 256), F.lit("]"))
+        mark = e["surrogate"] if surrogates else F.concat(F.lit("["), F.upper(e["kind"]), F.lit("_"), F.sha2(F.concat_ws("|", F.lit(key), F.sha2(F.concat_ws("|", F.lit(key), e["kind"], e["entity"]), 256)), 256), F.lit("]"))
         return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), mark).alias("out"), e["end"].alias("at"))
 
     whole = F.aggregate(entities, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

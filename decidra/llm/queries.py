@@ -49,9 +49,9 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each item of personal information of a state, spelled as in the state."""
-    found = pii.detect(table(spark, d, "requests").select("request_id", "state").where("state is not null"), "state")
-    return found.select("request_id", F.explode("entities").alias("e")).select("request_id", F.col("e.kind").alias("kind"), F.col("e.text").alias("found_text")).distinct()
+    """Each item of personal information of a state, spelled as in the state: the entities for which a checked surrogate stands ready."""
+    found = pii.checked(table(spark, d, "requests").select("request_id", "state"), "request_id", "state")
+    return found.where("surrogate is not null").select(F.col("id").alias("request_id"), "kind", F.col("text").alias("found_text")).distinct()
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,12 @@ def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.distinct_surrogates(pii.detect(table(spark, d, "requests").select("state"), "state"))
 
 
+def p3_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """All states with checked surrogates in the place of personal information, one delivery of each request."""
+    once = table(spark, d, "requests").groupBy("request_id").agg(F.max("state").alias("state"))
+    return pii.with_surrogates(once, "request_id", "state").select("request_id", F.col("redacted").alias("replaced"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The end of each sentence of plain-text states and of candidates."""
     requests = table(spark, d, "requests").where("state_kind = 'text'").select(F.lit("requests").alias("origin"), F.col("request_id").cast("string").alias("record_id"), F.col("state").alias("text"))
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p3_surrogates": p3_surrogates,
+    "p3_replaced": p3_replaced,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_containers": p6_containers,

@@ -96,6 +96,9 @@ def test_boundary_level(spark, text, limit, want):
     ("Order 864-4350-105 left; article 398-96-31782; host 192.0.2.7; 2026-03-16", []),
     ("我的电话是０１６３２－９６０６２１，请", [("phone", "０１６３２－９６０６２１")]),
     ("Ask @nora-desk, not Nora Inc.", []), ("", []),
+    ("Barack Obama met Angela Merkel.", [("name", "Barack Obama"), ("name", "Angela Merkel")]), ("Contact Ada Lovelace today", [("name", "Ada Lovelace")]),
+    ("Grüße, Sofia Lindqvist", [("name", "Sofia Lindqvist")]), ("Best regards,\nXochitl Quiver", [("name", "Xochitl Quiver")]), ("vera lindoyle signed", [("name", "vera lindoyle")]),
+    ("mail tuva.lind@x.example if Tuva Lind is away", [("email", "tuva.lind@x.example"), ("name", "Tuva Lind")]), ("no mark on max latency", []), ("The Ticket says no. New Parcel moved.", []),
 ])
 def test_detection(spark, text, want):
     got = pii.detect(spark.createDataFrame([(text,)], "t string"), "t").first().entities
@@ -115,6 +118,25 @@ def test_redaction_and_surrogates(spark):
     assert kept.count() == 2 and kept.select(F.lower("surrogate")).distinct().count() == 2
 
 
+@pytest.mark.parametrize("kind,text,form", [
+    ("address", "Lindelstr. 12a, 00400 Ulmau", r"[A-Z][a-z]+str\. \d\da, \d{5} [A-Z][a-z]+"), ("phone", "０１６３２－９６０６２１", "０[０-９]{4}－[０-９]{6}"), ("email", "halm_x (at) example.net", r"[a-z.0-9]+ \(at\) example\.org"),
+    ("name", "Vale, Nora", r"[A-Z][a-z]+, \w+"), ("address", "12 rue de la Paix, 75002 Paris", r"\d\d rue de la [A-Z][a-z]+, \d{5} [A-Z][a-z]+"), ("id_number", "QZ 46 29 22 B", r"[A-Z]{2} \d\d \d\d \d\d [A-Z]"),
+])
+def test_surrogates_keep_the_form(kind, text, form):
+    import re
+
+    assert all(re.fullmatch(form, pii.surrogate(kind, text, key)) for key in (b"a", b"b", b"c")) and pii.surrogate(kind, text, b"a") != pii.surrogate(kind, text, b"b")
+
+
+def test_checked_surrogates_reach_the_texts(spark):
+    texts = ["Nora Vale called Emil Brand.", "Vale, Nora again: 555-555-0123", None, "", "nothing here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    found = {(r.id, r.text): r.surrogate for r in pii.checked(df, "id", "t").collect()}
+    out = {r.id: r.redacted for r in pii.with_surrogates(df, "id", "t").collect()}
+    assert out[0] == f"{found[0, 'Nora Vale']} called {found[0, 'Emil Brand']}." and out[2] is None and out[3] == "" and out[4] == "nothing here"
+    assert found[1, "Vale, Nora"].split(", ")[::-1] == found[0, "Nora Vale"].split(" ") and found[1, "555-555-0123"] in out[1]
+
+
 def test_colliding_surrogates_part(spark, monkeypatch):
     rows = [(1, [("name", 0, 1, "A B", "a b", "Same Name"), ("name", 2, 3, "C D", "c d", "Same Name")])]
     found = spark.createDataFrame(rows, pii_schema())

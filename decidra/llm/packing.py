@@ -6,6 +6,9 @@ documents left looks up its successor, the smallest gap class that holds it; as
 once, the gaps are updated, and the sweep goes on until every class is placed. Who gets which place is resolved by rank:
 each document has a rank within its size, and each match covers a range of ranks and a range of containers. Ranks are
 counted in two steps over salted size classes, so that no size, however common, is ranked in one task.
+
+What reaches the driver is one sum per size class, at most ``capacity`` rows at any size of the corpus; the sweeps run over
+these. Offsets of salts stay in a table that is joined with the documents.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALTS = 256
+#: Parts of a size class that are ranked apart, and the most rows of offsets that are sent to every task.
+SALTS, OFFSETS_LIMIT = 64, 500_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -88,30 +92,32 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 4096) -> Dat
     sizes = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.octet_length(F.col(f"`{text_col}`")) + 1).cast("long").alias("tokens")).where("id is not null and tokens is not null").groupBy("id").agg(F.max("tokens").alias("tokens"))
     rest = (F.col("tokens") % capacity).cast("int")
     sized = sizes.select("id", "tokens", rest.alias("size"), F.floor(F.col("tokens") / capacity).alias("full"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    classes = sized.groupBy("size", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()  # at most capacity x SALTS rows
-    counts: dict[int, int] = {}
-    offsets = np.zeros((capacity, SALTS), dtype=np.int64)
-    full_offsets = np.zeros((capacity, SALTS), dtype=np.int64)
-    full = 0
-    for r in sorted(classes, key=lambda r: (r["size"], r["salt"])):
-        offsets[r["size"], r["salt"]] = counts.get(r["size"], 0)
-        full_offsets[r["size"], r["salt"]] = full
-        counts[r["size"]] = counts.get(r["size"], 0) + r["n"]
+    classes = sized.groupBy("size", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
+    sums = sorted(classes.groupBy("size").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect(), key=lambda r: r["size"])  # at most capacity rows
+    counts = {r["size"]: r["n"] for r in sums if r["size"] > 0}
+    full_before, full = np.zeros(capacity, dtype=np.int64), 0
+    for r in sums:
+        full_before[r["size"]] = full
         full += r["full"]
-    counts.pop(0, None)
     matches, _ = best_fit(counts, capacity)
     table = np.array(sorted(matches), dtype=np.int64).reshape(-1, 4)
     keys = table[:, 0] * (1 << 40) + table[:, 1]
+    upto = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    offsets = classes.select("size", "salt", earlier("n").alias("ranks_before"), earlier("full").alias("fulls_before"))
+    if capacity * SALTS <= OFFSETS_LIMIT:  # the most rows there can be
+        offsets = F.broadcast(offsets)
     each = Window.partitionBy("size", "salt").orderBy("id")
-    ranked = sized.select("id", "tokens", "size", "full", "salt", (F.row_number().over(each) - 1).alias("rank"), (F.sum("full").over(each) - F.col("full")).alias("full_before"))
+    ranked = sized.select("id", "tokens", "size", "full", "salt", (F.row_number().over(each) - 1).alias("rank"), (F.sum("full").over(each) - F.col("full")).alias("full_rank"))
+    placed = ranked.join(offsets, ["size", "salt"]).select("id", "tokens", "size", "full", (F.col("rank") + F.col("ranks_before")).alias("rank"), (F.col("full_rank") + F.col("fulls_before")).alias("full_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tokens, size, whole, salt, rank, before = (np.asarray(b.column(k)).astype(np.int64) for k in range(7))
-            at = np.searchsorted(keys, size * (1 << 40) + offsets[size, salt] + rank, side="right") - 1
+            ids, tokens, size, whole, rank, before = (np.asarray(b.column(k)).astype(np.int64) for k in range(6))
+            at = np.searchsorted(keys, size * (1 << 40) + rank, side="right") - 1
             some = size > 0
             row = table[np.maximum(at, 0)] if len(table) else np.zeros((len(size), 4), dtype=np.int64)
-            rests = full + row[:, 2] + offsets[size, salt] + rank - row[:, 1]
+            rests = full + row[:, 2] + rank - row[:, 1]
             piece = np.concatenate([np.arange(n) for n in whole]) if whole.sum() else np.empty(0, dtype=np.int64)
             owner = np.repeat(np.arange(len(ids)), whole)
             columns = (
@@ -119,8 +125,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 4096) -> Dat
                 np.r_[piece + 1, whole[some] + 1].astype(np.int32),
                 np.r_[piece * capacity, whole[some] * capacity],
                 np.r_[np.full(len(owner), capacity), size[some]].astype(np.int32),
-                np.r_[(full_offsets[size, salt] + before)[owner] + piece, rests[some]],
+                np.r_[(full_before[size] + before)[owner] + piece, rests[some]],
             )
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PLACED.names)
 
-    return ranked.mapInArrow(place, PLACED)
+    return placed.mapInArrow(place, PLACED)

@@ -14,7 +14,8 @@ from decidra.session import bounded_broadcast, table
 def _limited_requests(spark: SparkSession, d: str) -> DataFrame:
     limits = bounded_broadcast(table(spark, d, "model_limits").select(F.col("model").alias("_model"), "max_chars", "overlap_chars"))
     requests = table(spark, d, "requests").select("request_id", F.coalesce("model", F.lit("standard")).alias("_model"), "state")
-    return requests.join(limits, "_model").drop("_model")
+    own = requests.join(limits, "_model", "left").drop("_model")
+    return own.withColumn("max_chars", F.coalesce("max_chars", F.raise_error(F.lit("a model without limits")).cast("int")))
 
 
 def _split_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +105,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_containers(spark, d).where("piece_no > 1").select("doc_id").distinct()
 
 
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens in them, the fullest one, and the share of the capacity that is used."""
+    load = p6_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    total = load.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+    return total.select("tokens", (F.col("fullest") <= 4096).alias("within_capacity"), (F.col("tokens") / (F.col("containers") * 4096) >= 0.99).alias("well_filled"))
+
+
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per request that is split: whether its pieces cover the state, keep the limit, and share the overlap."""
+    once = _split_requests(spark, d).dropDuplicates(["request_id"])
+    size = lambda p: p["end"] - p["start"]
+    ps = F.col("split.pieces")
+    joined = F.zip_with(F.slice(ps, 1, F.size(ps) - 1), F.slice(ps, 2, F.size(ps) - 1), lambda a, b: b["start"] == a["end"] - F.col("overlap_chars"))
+    ends = (F.element_at(ps, 1)["start"] == 0) & (F.element_at(ps, -1)["end"] == F.length("state"))
+    return once.select("request_id", (ends & F.forall(joined, lambda x: x)).alias("covers"), F.forall(ps, lambda p: size(p) <= F.col("max_chars")).alias("within_limit"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -122,6 +140,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_coverage": p1_coverage,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
@@ -131,11 +150,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
 }
+_PLACED = "(SELECT DISTINCT ON (request_id) request_id, state, coalesce(model, 'standard') AS model FROM requests WHERE state IS NOT NULL ORDER BY request_id)"
 SQL: dict[str, str] = {
     "p6_found": "SELECT doc_id FROM documents WHERE text IS NOT NULL GROUP BY doc_id HAVING max(strlen(text)) + 1 > 4096",
+    "p6_fill": "SELECT sum(t)::BIGINT AS tokens, true AS within_capacity, true AS well_filled FROM (SELECT max(strlen(text)) + 1 AS t FROM documents WHERE text IS NOT NULL GROUP BY doc_id)",
+    "p1_coverage": f"SELECT request_id, true AS covers, true AS within_limit FROM {_PLACED} r JOIN model_limits m ON m.model = r.model WHERE length(state) > max_chars",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decidra.functions.scores import bound
+
 TYPES = ("string", "enum", "boolean", "integer", "number", "date", "datetime", "email", "url", "phone", "id", "object", "array")
 # The shape of each type, and the formats of dates in the order they are tried.
 NUMBER = r"[-+]?\d{1,3}(?:[ ,]\d{3})*(?:\.\d+)?|[-+]?\d+(?:\.\d+)?"
@@ -39,6 +42,7 @@ class Arg:
     enum: tuple[str, ...] = ()
     fields: tuple["Arg", ...] = ()
     item_type: str | None = None
+    description: str = ""
 
     def __post_init__(self) -> None:
         if self.type not in TYPES:
@@ -56,14 +60,38 @@ class Tool:
     args: tuple[Arg, ...] = field(default_factory=tuple)
 
     def required_paths(self) -> list[str]:
-        """Required arguments, and of objects their required fields as ``arg.field``."""
-        out = []
-        for a in self.args:
-            if a.type == "object":
-                out += [f"{a.name}.{f.name}" for f in a.fields if f.required and a.required]
-            elif a.required:
-                out.append(a.name)
-        return out
+        """Required arguments, and of every object, required or not, its required fields as ``arg.field``."""
+        return [p for a in self.args for p in ([f"{a.name}.{f.name}" for f in a.fields if f.required] if a.type == "object" else [a.name] * a.required)]
+
+    def card_text(self) -> str:
+        """The one text that stands for the tool wherever texts are compared."""
+        kinds = [f"{a.name}: " + (f"enum({','.join(a.enum)})" if a.enum else a.type) for a in self.args]
+        needed = ", ".join(a.name for a in self.args if a.required) or "none"
+        return "; ".join(filter(None, (self.name.replace("_", " "), self.description.strip(), *([f"required: {needed}", *kinds] if self.args else []))))
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> "Tool":
+        """The inverse of ``to_json``; arguments are required unless they say otherwise."""
+
+        def arg(d: dict, required: bool) -> Arg:
+            fields = tuple(arg(f, required) for f in d.get("fields") or ())
+            return Arg(d["name"], d["type"], bool(d.get("required", required)), tuple(d.get("enum") or ()), fields, d.get("item_type") or None, d.get("description") or "")
+
+        d = json.loads(text)
+        return Tool(d["tool_id"], d["name"], d.get("description") or "", d.get("family") or "", tuple(arg(a, True) for a in d.get("args") or ()))
+
+
+def catalog(spark: SparkSession, tools: list[Tool]) -> DataFrame:
+    """(tool_id, name, family, card, definition): a catalog as a table, which ``tools_of`` reads back."""
+    return spark.createDataFrame([(t.tool_id, t.name, t.family, t.card_text(), t.to_json()) for t in tools], "tool_id string, name string, family string, card string, definition string")
+
+
+def tools_of(table: DataFrame) -> list[Tool]:
+    """The tools of a catalog, by id; a catalog is a bounded list of definitions, no data."""
+    return [Tool.from_json(r["definition"]) for r in table.select("tool_id", "definition").orderBy("tool_id").collect()]
 
 
 def iso_date(raw: Column) -> Column:
@@ -111,35 +139,60 @@ def coerce(raw: Column, arg: Arg, compat: bool = True) -> Column:
     return F.when(s != "", s)
 
 
+_FOUND = "array<struct<value:string,raw:string>>"
+
+
+def _labels(arg: Arg) -> list[str]:
+    """Patterns of a value behind (quantities: also before) the argument's name, from the shape of its type."""
+    name = re.escape(arg.name.replace("_", " ").strip())
+    label = rf"(?:the\s+)?{name}\s*(?:is|=|:)?\s*"
+    if arg.type in ("integer", "number"):
+        return [label + QUANTITY, rf"{QUANTITY}\s*(?:of\s+)?(?:for\s+)?{name}"]
+    return [f"{label}({SHAPES[arg.type].removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')})"] if arg.type in ("date", "datetime") else []
+
+
 def extract_slot(state: Column, arg: Arg, compat: bool = True) -> Column:
-    """``struct<state,value,candidates>``: VALUE, MISSING or AMBIGUOUS.
+    """``struct<state,value,candidates,start,end,reason>``: VALUE, MISSING or AMBIGUOUS.
 
     A value behind the argument's name wins if it is unique; otherwise all texts of the type's shape are candidates. Null
-    states are MISSING, as are types without a shape (string, object, array).
+    states are MISSING, as are types without a shape (string, object, array). ``start`` and ``end`` are the half-open
+    range, from 0, of the first spelling of a VALUE in the state.
     """
     text = F.coalesce(state, F.lit(""))
-    none = F.expr("cast(array() as array<string>)")
-    shape = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    valid = lambda found: F.array_distinct(F.filter(F.transform(found, lambda v: coerce(v, arg, compat)), lambda v: v.isNotNull()))
+    none = F.expr(f"cast(array() as {_FOUND})")
+    pair = lambda value, raw: F.struct(value.alias("value"), raw.alias("raw"))
+
+    def valid(found: Column) -> Column:
+        every = F.filter(F.transform(found, lambda v: pair(coerce(v, arg, compat), v)), lambda x: x["value"].isNotNull())
+        first = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, 1, i), lambda y: y["value"] == x["value"]))
+        return bound(every, first)
+
     if arg.type == "enum":
-        plain = [e for e in arg.enum if re.fullmatch(r"\w+", e)]
-        hits = F.array_compact(F.array(*(F.when(text.rlike(rf"(?iU)\b{re.escape(e)}\b"), F.lit(e)) for e in plain))) if plain else none
-        values = F.array_distinct(hits)
+        hits = [F.regexp_extract(text, rf"(?iU)\b{re.escape(e)}\b", 0) for e in arg.enum if "_" in e or re.fullmatch(r"\w+", e)]
+        own = [e for e in arg.enum if "_" in e or re.fullmatch(r"\w+", e)]
+        values = F.array_compact(F.array(*(F.when(h != "", pair(F.lit(e), h)) for e, h in zip(own, hits)))) if own else none
         labeled = none
     else:
-        label = r"(?:the\s+)?" + re.escape(arg.name.replace("_", " ").strip()) + r"\s*(?:is|=|:)?\s*"
-        patterns = {
-            "integer": [label + QUANTITY, QUANTITY + r"\s*(?:of\s+)?(?:for\s+)?" + re.escape(arg.name.replace("_", " ").strip())],
-            "date": [label + r"(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"],
-            "datetime": [label + r"(\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(?::\d{2})?)"],
-        }
-        patterns["number"] = patterns["integer"]
-        own = [_first(text, "(?i)" + p, 1) for p in patterns.get(arg.type, [])]
-        labeled = valid(F.array(*own)) if own else none
-        values = valid(shape(SHAPES[arg.type])) if arg.type in SHAPES else none
+        said = [_first(text, "(?i)" + p, 1) for p in _labels(arg)]
+        labeled = valid(F.array(*said)) if said else none
+        values = valid(F.regexp_extract_all(text, F.lit(SHAPES[arg.type]), F.lit(0))) if arg.type in SHAPES else none
     chosen = F.when(F.size(labeled) == 1, labeled).otherwise(values)
-    kind = F.when(F.size(chosen) == 0, "MISSING").when(F.size(chosen) == 1, "VALUE").otherwise("AMBIGUOUS")
-    return F.struct(kind.alias("state"), F.when(F.size(chosen) == 1, chosen[0]).alias("value"), F.when(F.size(chosen) > 1, chosen).otherwise(none).alias("candidates"))
+
+    def decision(c: Column) -> Column:
+        n, start = F.size(c), F.instr(text, F.get(c, F.lit(0))["raw"]) - 1
+        kind = F.when(n == 0, "MISSING").when(n == 1, "VALUE").otherwise("AMBIGUOUS")
+        reason = F.when(n == 0, f"no {arg.type} value found for {arg.name}").when(n == 1, f"{arg.type} exact match").otherwise(F.concat(n.cast("string"), F.lit(f" incompatible {arg.type} candidates")))
+        several = F.when(n > 1, F.transform(c, lambda x: x["value"])).otherwise(F.expr("cast(array() as array<string>)"))
+        one = lambda x: F.when(n == 1, x)
+        return F.struct(kind.alias("state"), one(F.get(c, F.lit(0))["value"]).alias("value"), several.alias("candidates"), one(start).alias("start"), one(start + F.length(F.get(c, F.lit(0))["raw"])).alias("end"), reason.alias("reason"))
+
+    return bound(chosen, decision)
+
+
+def coerce_items(items: Column, item_type: str, compat: bool = True) -> Column:
+    """``struct<items,invalid>``: the valid items of an array of raw texts as their type, and how many are none."""
+    own = F.filter(F.transform(items, lambda v: coerce(v, Arg("item", item_type), compat)), lambda v: v.isNotNull())
+    return bound(own, lambda v: F.struct(v.alias("items"), (F.size(items) - F.size(v)).alias("invalid")))
 
 
 def extract_all(df: DataFrame, state: str, tool: Tool, compat: bool = True) -> DataFrame:
@@ -149,30 +202,61 @@ def extract_all(df: DataFrame, state: str, tool: Tool, compat: bool = True) -> D
 
 
 def compile_call(df: DataFrame, tool: Tool, slots: str = "slots", extra: Column | None = None) -> DataFrame:
-    """Adds ``call``: struct<outcome, args map, missing, ambiguous, unsupported>.
+    """Adds ``call``: struct<outcome, args map, missing, ambiguous, unsupported, reasons, evidence>.
 
     REJECT if ``extra`` names undeclared arguments, else ASK_FOR_INFO if a required one is missing or ambiguous, else ACT.
-    Optional arguments that do not resolve are left out.
+    Optional arguments that do not resolve are left out. An object of which no field has a value is missing as a whole, if
+    it is required; of one that has some, its required fields. ``evidence`` has the range of each value.
     """
     s = F.col(slots)
-    paths = [n for a in tool.args for n in ([f"{a.name}.{f.name}" for f in a.fields] if a.type == "object" else [a.name])]
-    required = set(tool.required_paths())
     state = lambda n: F.coalesce(s[n]["state"], F.lit("MISSING"))
-    pick = lambda kind: F.array_compact(F.array(*(F.when(state(n) == kind, F.lit(n)) for n in paths if n in required), F.lit(None).cast("string")))
+    wanted: list[tuple[str, Column]] = []  # path, whether it is asked for
+    for a in tool.args:
+        if a.type != "object":
+            wanted += [(a.name, F.lit(True))] if a.required else []
+            continue
+        paths = [f"{a.name}.{f.name}" for f in a.fields]
+        some = F.greatest(*(state(p) == "VALUE" for p in paths), F.lit(False))
+        wanted += [(a.name, ~some)] if a.required else []
+        wanted += [(f"{a.name}.{f.name}", some) for f in a.fields if f.required]
+    kind_of = lambda n: state(n) if any(n == x.name and x.type != "object" for x in tool.args) or "." in n else F.lit("MISSING")
+    texts = lambda xs: F.array_compact(F.array(*xs, F.lit(None).cast("string")))
+    pick = lambda kind: texts(F.when(asked & (kind_of(n) == kind), F.lit(n)) for n, asked in wanted)
     missing, ambiguous = pick("MISSING"), pick("AMBIGUOUS")
     declared = F.array(*(F.lit(a.name) for a in tool.args)) if tool.args else F.expr("cast(array() as array<string>)")
     unsupported = F.array_sort(F.array_except(extra, declared)) if extra is not None else F.expr("cast(array() as array<string>)")
     args = F.map_filter(F.transform_values(s, lambda k, v: v["value"]), lambda k, v: v.isNotNull())
+    reasons = F.concat(
+        F.transform(missing, lambda n: F.concat(F.lit("required arg "), n, F.lit(" unresolved"))), F.transform(ambiguous, lambda n: F.concat(F.lit("required arg "), n, F.lit(" ambiguous"))),
+        F.transform(unsupported, lambda n: F.concat(F.lit("unsupported arg "), n)),
+    )
+    evidence = F.transform(F.filter(F.map_entries(s), lambda e: e["value"]["start"].isNotNull()), lambda e: F.struct(e["key"].alias("arg"), e["value"]["start"].alias("start"), e["value"]["end"].alias("end")))
     outcome = F.when(F.size(unsupported) > 0, "REJECT").when(F.size(missing) + F.size(ambiguous) > 0, "ASK_FOR_INFO").otherwise("ACT")
-    return df.withColumn("call", F.struct(outcome.alias("outcome"), args.alias("args"), missing.alias("missing"), ambiguous.alias("ambiguous"), unsupported.alias("unsupported")))
+    return df.withColumn("call", F.struct(outcome.alias("outcome"), args.alias("args"), missing.alias("missing"), ambiguous.alias("ambiguous"), unsupported.alias("unsupported"), reasons.alias("reasons"), evidence.alias("evidence")))
 
 
 def schema_errors(args: Column, tool: Tool) -> Column:
-    """Array of errors of finished arguments (a map of strings): undeclared, missing, of the wrong type."""
-    undeclared = F.transform(F.array_except(F.map_keys(args), F.array(*(F.lit(a.name) for a in tool.args))), lambda k: F.concat(F.lit("unsupported arg "), k))
-    checks = []
-    for a in tool.args:
-        if a.required:
-            checks.append(F.when(~F.map_contains_key(args, a.name), F.lit(f"missing required arg {a.name}")))
-        checks.append(F.when(F.map_contains_key(args, a.name) & coerce(args[a.name], a).isNull(), F.lit(f"arg {a.name} invalid {a.type}")))
-    return F.concat(undeclared, F.array_compact(F.array(*checks, F.lit(None).cast("string"))))
+    """Array of errors of finished arguments (a map of texts; objects and arrays as JSON): undeclared, missing, of the wrong type."""
+    none = F.expr("cast(array() as array<string>)")
+    names = lambda xs: F.array(*(F.lit(x.name) for x in xs)) if xs else none
+
+    def of(values: Column, declared: tuple[Arg, ...], prefix: str) -> Column:
+        found = F.transform(F.array_except(F.map_keys(values), names(declared)), lambda k: F.concat(F.lit(f"unsupported arg {prefix}"), k))
+        checks, nested = [], []
+        for a in declared:
+            path, here = f"{prefix}{a.name}", F.map_contains_key(values, a.name)
+            if a.required:
+                checks.append(F.when(~here, F.lit(f"missing required arg {path}")))
+            if a.type == "object":
+                inner = F.from_json(values[a.name], "map<string,string>")
+                checks.append(F.when(here & inner.isNull(), F.lit(f"arg {path} must be object")))
+                nested.append(F.when(here & inner.isNotNull(), of(inner, a.fields, f"{path}.")).otherwise(none))
+            elif a.type == "array":
+                items = F.from_json(values[a.name], "array<string>")
+                checks.append(F.when(here & (items.isNull() | ~F.startswith(F.ltrim(values[a.name]), F.lit("["))), F.lit(f"arg {path} must be array")))
+                checks.append(F.when(here & F.exists(items, lambda v: coerce(v, Arg("item", a.item_type or "string")).isNull()), F.lit(f"array {path} has an invalid item")))
+            else:
+                checks.append(F.when(here & coerce(values[a.name], a).isNull(), F.lit(f"arg {path} invalid {a.type}")))
+        return F.concat(found, F.array_compact(F.array(*checks, F.lit(None).cast("string"))), *nested)
+
+    return of(args, tool.args, "")

@@ -12,7 +12,8 @@ from decidra.operators import metrics, models, retrieval, slots, trust, units
 from decidra.plans import executor
 from decidra.plans import systemone as so
 from decidra.plans.program import compile_instruction
-from decidra.session import bounded_broadcast, table
+from decidra.session import bounded_broadcast, cut_lineage, table
+from decidra.sources import files
 from decidra.sources import requests as rq
 from decidra.streaming import state as st
 
@@ -148,15 +149,21 @@ def select_state(spark, d):
 
 
 def cosine_match(spark, d):
-    """Each vector against the mean vector of each label: the best label and its lead. Labels are few; their means are broadcast if so."""
-    vectors = table(spark, d, "embeddings")
-    flat = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
-    means = flat.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-    means = means.select(F.col("label").alias("candidate"), F.transform("v", lambda s: s["m"]).alias("v"))
-    every = means.agg(F.array_sort(F.collect_list(F.struct("candidate", "v"))).alias("all"))  # one row, one entry per label
-    scored = vectors.crossJoin(bounded_broadcast(every)).select("vec_id", F.transform("all", lambda m: F.struct((-F.round(sc.cosine(F.col("embedding"), m["v"]), 9)).alias("c"), m["candidate"].alias("candidate"))).alias("s"))
-    best = F.array_sort("s")
-    return scored.select("vec_id", best[0]["candidate"].cast("long").alias("label"), F.round(best[1]["c"] - best[0]["c"], 4).alias("lead"))
+    """Each vector against the mean vector of each label: the best label and its lead.
+
+    Vectors and means are flattened to (dimension, value) rows and joined on the dimension; the products are sums that
+    combine before they are shuffled, whatever the number of labels.
+    """
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    flat = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    means = flat.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    norms = means.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mn"))
+    scaled = cut_lineage(means.join(norms, "label").select(F.col("label").alias("candidate"), "i", (F.col("m") / F.col("mn")).alias("m")))
+    lengths = vectors.select("vec_id", F.sqrt(sc.dot(F.col("embedding"), F.col("embedding"))).alias("n"))
+    products = flat.select("vec_id", "i", "x").join(bounded_broadcast(scaled), "i").groupBy("vec_id", "candidate").agg(F.sum(F.col("x") * F.col("m")).alias("p"))
+    scored = products.join(lengths, "vec_id").select("vec_id", "candidate", F.round(F.col("p") / F.col("n"), 9).alias("c"))
+    best = models.best_two(cut_lineage(scored), "vec_id", "candidate", "c")
+    return best.select("vec_id", F.col("candidate").cast("long").alias("label"), F.round("margin", 4).alias("lead"))
 
 
 def softmax_temperature(spark, d):
@@ -417,6 +424,34 @@ def noise_stability(spark, d):
     return ev.stability(_two_lanes(spark, d), "obs_id", "pos", "semantic", 0.02)
 
 
+def object_calls(spark, d):
+    """Calls of a tool with a nested argument: a contact of mail and phone, which an optional day goes with."""
+    contact = slots.Arg("contact", "object", required=True, fields=(slots.Arg("mail", "email", required=True), slots.Arg("ticket", "id")))
+    tool = slots.Tool("callback", "callback", args=(contact, slots.Arg("day", "date")))
+    got = slots.compile_call(slots.extract_all(_states(spark, d), "state", tool), tool)
+    return got.select("request_id", F.col("call.outcome").alias("outcome"), F.array_join("call.missing", ",").alias("missing"), F.array_join("call.ambiguous", ",").alias("ambiguous"))
+
+
+def mail_slots(spark, d):
+    """The e-mail address of each state as a typed slot, with its place."""
+    got = _states(spark, d).withColumn("s", slots.extract_slot(F.col("state"), slots.Arg("mail", "email")))
+    return got.select("request_id", F.col("s.state").alias("slot_state"), F.col("s.value").alias("value"), F.col("s.start").cast("long").alias("start"), F.size("s.candidates").cast("long").alias("candidates"))
+
+
+def request_errors(spark, d):
+    """Requests by the number of their questions that have no valid type or criteria."""
+    each = table(spark, d, "questions").select("request_id", F.size(rq.question_errors(F.col("qtype"), F.col("criteria"))).alias("n"))
+    return each.groupBy("request_id").agg(F.sum("n").cast("long").alias("errors"))
+
+
+def json_bodies(spark, d):
+    """Requests written as JSON bodies and read back: their questions."""
+    body = F.to_json(F.struct(F.lit("standard").alias("model"), F.lit("x").alias("state"), F.create_map(F.coalesce("qname", F.lit("q")), F.struct(F.col("qtype").alias("type"), "instructions")).alias("questions")))
+    rows = table(spark, d, "questions").groupBy("request_id").agg(F.min(F.struct("pos", "qname", "qtype", "instructions")).alias("q")).select("request_id", "q.*").withColumn("body", body)
+    _, questions, _ = files.json_requests(rows, "body", "request_id")
+    return questions.select("request_id", "qname", "qtype", "instructions")
+
+
 def trust_controls(spark, d):
     """Risks of the six controls on the odd observations, fitted on the even ones."""
     seen = trust.observe(table(spark, d, "observations").where("risk is not null")).where("candidate_count > 0").withColumn("error", (F.col("risk") > 0.5).cast("int"))
@@ -441,6 +476,7 @@ QUERIES = {f.__name__: f for f in (
     softmax_temperature, fit_temperature, ece15, ece10_right, brier_nll, auroc, auprc, risk_coverage, ranking_quality, lane_agreement, observation_features, trust_policy, decile_risk, logistic_risk, slot_states, compile_calls,
     request_validation, exact_lane, lane_counts, latest_requests, input_tokens, fact_age, seen_within, ema_reliability, user_reliability, trigger_decay, pairwise_potential, state_texts, multiclass_losses, coverage_at_risk, prefix_curve, curve_points, latency_p95, label_accuracy, winner_agreement, sign_accuracy, relation_crosstab,
     top_set_agreement, full_order_agreement, certificate_counts, margin_bins, lane_divergence, calibration_radius, graph_degrees, graph_components, bootstrap_interval, noise_stability, trust_controls, system_one, text_match,
+    object_calls, mail_slots, request_errors, json_bodies,
 )}
 
 _GRADED = "(SELECT obs_id, risk, 1 - risk AS confidence, CASE WHEN n_required_missing + n_ambiguous > 0 THEN 1 ELSE 0 END AS error FROM observations WHERE risk IS NOT NULL)"
@@ -550,4 +586,7 @@ SQL = {
         SELECT obs_id, round(sum(CASE WHEN t > 0 THEN t * (ln(t) - ln(greatest(s, 1e-12))) ELSE 0 END), 6) AS kl FROM p GROUP BY 1""",
     "calibration_radius": f"WITH e AS (SELECT abs(risk - error) AS v, row_number() OVER (ORDER BY abs(risk - error)) - 1 AS i, count(*) OVER () AS n FROM {_GRADED}) SELECT round(v, 9) AS radius FROM e WHERE i = least(n - 1, floor(0.999 * n)::BIGINT)",
     "graph_degrees": "WITH e AS (SELECT o_custkey AS v FROM orders UNION ALL SELECT -o_orderkey FROM orders), g AS (SELECT v, count(*) AS d FROM e GROUP BY 1) SELECT (sum(d) / 2)::BIGINT AS edges, count(*) AS nodes, max(d) AS max_degree FROM g",
+    "mail_slots": rf"""WITH m AS (SELECT request_id, state, list_distinct(regexp_extract_all(state, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}.+-]+@[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}-]+\.[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}.-]+')) AS v FROM {_LATEST} WHERE state IS NOT NULL)
+        SELECT request_id, CASE len(v) WHEN 0 THEN 'MISSING' WHEN 1 THEN 'VALUE' ELSE 'AMBIGUOUS' END AS slot_state, CASE WHEN len(v) = 1 THEN v[1] END AS value, CASE WHEN len(v) = 1 THEN strpos(state, v[1]) - 1 END AS start, CASE WHEN len(v) > 1 THEN len(v) ELSE 0 END AS candidates FROM m""",
+    "json_bodies": "SELECT request_id, coalesce(f.qname, 'q') AS qname, f.qtype AS qtype, f.instructions AS instructions FROM (SELECT request_id, arg_min({'qname': qname, 'qtype': qtype, 'instructions': instructions}, (pos, qname, qtype, instructions)) AS f FROM questions GROUP BY 1)",
 }

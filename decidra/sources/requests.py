@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,41 +65,54 @@ def _flatten(value, top: bool, sep: str) -> str:
     return json.dumps(value)
 
 
-@F.udf(T.StringType())
-def _state_text(state: str | None, kind: str | None) -> str | None:
-    if state is None or kind not in ("object", "array"):
-        return state.strip() if state is not None else None
+def _one_text(state: str | None) -> str | None:
     try:
-        return _flatten(json.loads(state), True, "\n")
+        return None if state is None else _flatten(json.loads(state), True, "\n")
     except ValueError:
         return state.strip()
 
 
+@F.arrow_udf(T.StringType())  # type: ignore[call-overload]
+def _state_text(states: pa.Array) -> pa.Array:
+    return pa.array([_one_text(s) for s in states.to_pylist()], pa.string())
+
+
 def state_text(state: Column, kind: Column) -> Column:
     """The state as text: one ``key: value`` line per field of an object, one line per item of an array."""
-    return F.when(kind.isin("object", "array"), _state_text(state, kind)).otherwise(F.trim(state, F.lit(" \t\r\n")))
+    return F.when(kind.isin("object", "array"), _state_text(F.when(kind.isin("object", "array"), state))).otherwise(F.trim(state, F.lit(" \t\r\n")))
+
 
+def _clean(name: object) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", str(name).lower()).strip("_")
 
-@F.udf(T.StringType())
-def _find_field(state: str | None, name: str | None) -> str | None:
-    import re
 
-    clean = lambda s: re.sub(r"[^a-z0-9]+", "_", str(s).lower()).strip("_")
+def _fields(state: str) -> dict[str, str]:
+    """JSON of the first value, breadth first and three levels deep, of each cleaned key of a state."""
+    found: dict[str, str] = {}
     try:
-        level = [json.loads(state)] if state else []
+        level = [json.loads(state)]
     except ValueError:
-        return None
-    wanted, level = clean(name or ""), [x for x in level if isinstance(x, dict)]
+        return found
     for _ in range(3):
-        below = []
-        for d in level:
-            for k, v in d.items():
-                if clean(k) == wanted:
-                    return json.dumps(v)
-                if isinstance(v, dict):
-                    below.append(v)
-        level = below
-    return None
+        own = [kv for d in level if isinstance(d, dict) for kv in d.items()]
+        for k, v in own:
+            found.setdefault(_clean(k), json.dumps(v))
+        level = [v for _, v in own]
+    return found
+
+
+@F.arrow_udf(T.StringType())  # type: ignore[call-overload]
+def _find_field(states: pa.Array, names: pa.Array) -> pa.Array:
+    read: dict[str, dict[str, str]] = {}  # a state is parsed once for all its questions in a batch
+    out = []
+    for state, name in zip(states.to_pylist(), names.to_pylist()):
+        if state is None:
+            out.append(None)
+            continue
+        if state not in read:
+            read[state] = _fields(state)
+        out.append(read[state].get(_clean(name or "")))
+    return pa.array(out, pa.string())
 
 
 def find_field(state: Column, name: Column) -> Column:
@@ -114,7 +129,7 @@ def exact_answers(requests: DataFrame, questions: DataFrame) -> DataFrame:
     rows = questions.join(requests.select("request_id", "state", "state_kind"), "request_id")
     keys = F.coalesce(F.json_object_keys("criteria"), F.expr("cast(array() as array<string>)"))
     n = F.when(F.col("qtype") == "score", F.coalesce(F.json_array_length("criteria"), F.lit(0))).otherwise(F.size(keys))
-    value = F.when(F.col("state_kind") == "object", find_field(F.col("state"), F.col("qname")))
+    value = F.when(F.col("state_kind") == "object", find_field(F.when(F.col("state_kind") == "object", F.col("state")), F.col("qname")))
     rows = rows.withColumn("_v", value).withColumn("_k", keys).withColumn("_n", n)
     text = F.when(F.col("_v").rlike('^"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("_v"), F.lit("}")), "$.v"))
     plain = F.lower(F.trim(F.coalesce(text, F.when(F.col("_v").isin("true", "false"), F.col("_v")))))

@@ -4,7 +4,8 @@ Each language has a codeword, a row of a Hadamard matrix, so that any two differ
 binary naive-Bayes classifier over words and character n-grams tells the languages with a 1 from those with a 0. A
 sentence gets the language whose codeword has the least loss under the weighted margins of all bits; if the runner-up is
 close, the decision is flagged and the sentences around it decide (a best path with a price for each change). Runs of
-sentences in one language are the segments of a document.
+sentences in one language are the segments of a document. A text all of whose pieces, however small, agree is in one
+language; only the others are cut into sentences.
 
 The classifiers are fitted on a bounded sample of labelled documents (``FIT_ROWS``, of each at most ``FIT_CHARS``
 characters), in two rounds: the second leaves out
@@ -170,6 +171,37 @@ SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
+#: Segments of texts in one language, and the texts that may be in several.
+OPEN = T.StructType([*SEGMENTS, T.StructField("text", T.StringType())])
+_PIECES, _BLANKS = re.compile("[.!?。！？।؟\n]+"), " \n\t\r\u00a0\u2009\u202f\u3000"
+
+
+def _in_one_language(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(row, language, confidence, whether ambiguous) of the texts all of whose pieces are in one language.
+
+    Pieces end at every mark that could end a sentence, so that none reaches over a sentence; a text with a piece in another
+    language, or with none that is long enough to tell, is left to its sentences.
+    """
+    cut = [[w for x in _PIECES.split(t) if x and (w := tokens(x))] for t in texts]
+    sizes = np.array([len(c) for c in cut], dtype=np.int64)
+    pieces = list(chain.from_iterable(cut))
+    if not pieces:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+    row, scores = np.repeat(np.arange(len(texts)), sizes), model.scores(pieces)
+    usable = np.array([len(w) >= 2 or len(w[0]) >= 8 for w in pieces])
+    best = scores.argmax(axis=1)
+    least, most = np.full(len(texts), len(LANGUAGES)), np.full(len(texts), -1)
+    np.minimum.at(least, row[usable], best[usable])
+    np.maximum.at(most, row[usable], best[usable])
+    sure = np.flatnonzero(least == most)
+    total = np.add.reduceat(scores, np.r_[0, np.cumsum(sizes[sizes > 0])[:-1]], axis=0)[np.searchsorted(np.flatnonzero(sizes > 0), sure)]
+    chosen = total[np.arange(len(sure)), most[sure]]
+    others = total.copy()
+    others[np.arange(len(sure)), most[sure]] = -np.inf
+    share = 1 / np.exp(np.clip(total - chosen[:, None], -50, 50)).sum(axis=1)
+    return sure, most[sure], share, chosen - others.max(axis=1) < LEAD
+
+
 def _segmented(model: Model, texts: list[str], ends: pa.ListArray) -> tuple[np.ndarray, ...]:
     """Per segment of a batch: row, number from 1, segments of the row, language, confidence, whether ambiguous, start, end."""
     cuts = ends.offsets.to_numpy() - ends.offsets[0].as_py()
@@ -235,19 +267,39 @@ def segments(df: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows
         model = fit([t for t, _ in kept], [k for _, k in kept])
     weights, words, name = model.weights, model.words, uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept() -> Model:
         if name not in _KEPT:
             _KEPT.clear()
             _KEPT[name] = Model(weights, words)
-        own = _KEPT[name]
+        return _KEPT[name]
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept()
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            row, lang, share, ambiguous = _in_one_language(own, texts)
+            open_ = np.setdiff1d(np.arange(len(texts)), row)
+            order, n = np.r_[row, open_], len(open_)
+            none = lambda values, kind: pa.array([*values, *[None] * n], kind)
+            columns = [batch.column(0).take(pa.array(order)), batch.column(1).take(pa.array(order)), none([1] * len(row), pa.int32()), none([1] * len(row), pa.int32()), none([LANGUAGES[k] for k in lang], pa.string())]
+            columns += [none(share.tolist(), pa.float64()), none(ambiguous.tolist(), pa.bool_()), none([0] * len(row), pa.int32()), none([len(texts[r].rstrip(_BLANKS)) for r in row.tolist()], pa.int32())]
+            columns.append(pa.array([*[None] * len(row), *(texts[r] for r in open_.tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=OPEN.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept()
         for batch in batches:
-            row, number, of, lang, share, ambiguous, start, end = _segmented(own, batch.column(2).to_pylist(), batch.column(3))
+            text = batch.column(len(SEGMENTS.names))
+            yield batch.filter(text.is_null()).select(SEGMENTS.names)
+            rest = batch.filter(text.is_valid())
+            row, number, of, lang, share, ambiguous, start, end = _segmented(own, rest.column(len(SEGMENTS.names)).to_pylist(), rest.column(len(OPEN.names)))
             names = pa.array(LANGUAGES).take(pa.array(lang.astype(np.int64)))
-            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(of.astype(np.int32)), names]
+            columns = [rest.column(0).take(pa.array(row)), rest.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(of.astype(np.int32)), names]
             columns += [pa.array(share.astype(np.float64)), pa.array(ambiguous.astype(bool)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=SEGMENTS.names)
 
-    return rows.withColumn("ends", sentence_ends(F.col("text"))).mapInArrow(run, SEGMENTS)
+    first = rows.mapInArrow(plain, OPEN)
+    return first.withColumn("ends", F.when(F.col("text").isNotNull(), sentence_ends(F.col("text")))).mapInArrow(run, SEGMENTS)
 
 
 def label_is(label, lang):

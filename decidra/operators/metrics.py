@@ -44,6 +44,18 @@ def running(df: DataFrame, key: str, sums: dict[str, str], ascending: bool = Tru
     return out.select("*", *((F.col(f"_o_{s}") + F.sum(s).over(within)).alias(name) for s, name in sums.items())).drop("_b", *(f"_o_{s}" for s in sums))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float] | None:
+    """Quantiles with linear interpolation, through counts by value in ranges: no task holds all values. None without rows."""
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = df.where(F.col(value).isNotNull()).count()
+    if not total:
+        return None
+    places = [q * (total - 1) for q in shares]
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    found = running(rows, "v", {"n": "upto"}).agg(*(at(k).alias(f"q{i}_{j}") for i, p in enumerate(places) for j, k in enumerate((int(p), min(total - 1, int(p) + 1))))).first()
+    return [found[2 * i] + (p - int(p)) * (found[2 * i + 1] - found[2 * i]) for i, p in enumerate(places)]
+
+
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null with one class only. Rows are grouped by score first."""
     each = running(_counts_by_score(df, score, label), "s", {"n": "upto"})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decidra.functions.scores import softmax
+from decidra.operators.metrics import quantiles
 
 
 def _top(values: Column) -> Column:
@@ -61,7 +62,7 @@ def policy(risk: Column, missing: Column, ambiguous: Column, agree: Column, marg
 
 def decile_rates(fit: DataFrame, score: str, error: str) -> tuple[list[float], list[float]]:
     """Edges of ten quantile bins of a score and the error rate in each (0 in empty ones); 21 numbers, whatever the rows."""
-    edges = fit.agg(F.percentile(score, [i / 10 for i in range(11)])).first()[0]
+    edges = quantiles(fit, score, [i / 10 for i in range(11)])
     if edges is None:
         raise ValueError("nothing to fit on")
     rows = dict(fit.where(F.col(score).isNotNull()).groupBy(bin_of(F.col(score), edges).alias("b")).agg(F.avg(F.col(error).cast("double")).alias("r")).collect())

@@ -87,14 +87,14 @@ def covered(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int)
     A passage is an alignment of a stretch of the item with one of the document that begins and ends with equal units, has
     ``least`` columns or more, and of which at most one in eight is a changed, inserted or left out unit. Passages may
     overlap. With +1 for an equal and -7 for a deviating column the bound is a sum of at least 0, so an equal unit
-    counts if the best sums before and behind it do, over all lengths that add up. A window (from, to, diagonal, reach) is
-    the part of the item, and the diagonals, that the passages through one run of hits can take.
+    counts if the best sums before and behind it do, over all lengths that add up. A window (from, to, diagonal, reach, begin
+    and end of its run) is the part of the item, and the diagonals, that the passages through one run of hits can take.
     """
     out = [np.zeros(len(item), dtype=bool) for _, item, _ in pairs]
     jobs = []
     for k, (_, _, windows) in enumerate(pairs):
         merged: list[tuple[int, int, int, int]] = []
-        for low, high, diagonal, reach in sorted(windows.tolist(), key=lambda w: (w[2], w[0])):
+        for low, high, diagonal, reach in sorted(windows[:, :4].tolist(), key=lambda w: (w[2], w[0])):
             new = (low, high, diagonal - reach, diagonal + reach)
             for i, old in enumerate(merged):  # one search of both if it is no larger than two
                 both = (min(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), max(old[3], new[3]))
@@ -197,7 +197,7 @@ def within_reach(flat: np.ndarray, doc_end: np.ndarray, codes: np.ndarray, first
             sure.append(own[part[which]] * longest + low[which] + spot)
     count = lambda x: np.bincount(np.unique(np.concatenate(x)) // longest, minlength=pairs_n)
     chosen = np.flatnonzero(good[first])
-    return count(cells), count(sure), own[chosen], np.column_stack([lows, highs, shift, reach])[chosen]
+    return count(cells), count(sure), own[chosen], np.column_stack([lows, highs, shift, reach, begin, end + run])[chosen]
 
 
 def _running(equal: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -211,6 +211,78 @@ def _first_equal(equal: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.argmax(equal & (np.arange(equal.shape[1]) >= at[:, None]), axis=1)
 
 
+def plausible(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> list[tuple[int, np.ndarray]]:
+    """For (document, item, windows): no fewer units than ``covered`` finds, and the windows that are left.
+
+    A passage through a run holds, with no less a sum, the whole run. So the best sums from the run on to both sides tell
+    which equal units any of them can reach, whatever its length; of a passage of ``least`` columns, seven in eight are such.
+    """
+    jobs = [(int(w[3]), max(int(w[1] - w[5]), int(w[4] - w[0])), k, j) for k, (_, _, windows) in enumerate(pairs) for j, w in enumerate(windows)]
+    reached = [np.zeros(len(item), dtype=bool) for _, item, _ in pairs]
+    kept: list[list[int]] = [[] for _ in pairs]
+    jobs.sort()
+    while jobs:
+        reach, n = jobs[-1][:2]
+        part = [j for j in jobs[-max(1, min(1024, 4_000_000 // ((2 * reach + 1) * max(n, 1)))) :] if 4 * j[0] >= 3 * reach]
+        del jobs[-len(part) :]
+        n = max(j[1] for j in part)
+        sides = []
+        for step in (1, -1):  # behind the run, then before it with both texts turned round
+            items, docs = np.zeros((n, len(part)), dtype=np.uint64), np.ones((n + 2 * reach, len(part)), dtype=np.uint64)
+            for p, (_, _, k, j) in enumerate(part):
+                doc, item, windows = pairs[k]
+                low, high, diagonal, _, begin, end = windows[j].tolist()
+                own = item[end:high] if step == 1 else item[low:begin][::-1]
+                items[: len(own), p] = own
+                at = end + diagonal - reach if step == 1 else len(doc) - (begin + diagonal) - reach
+                text = doc if step == 1 else doc[::-1]
+                piece = text[max(0, at) : max(0, at + n + 2 * reach)]
+                docs[max(0, -at) : max(0, -at) + len(piece), p] = piece
+            sides.append(_from_run([docs[i : i + 2 * reach + 1] == items[i] for i in range(n)], reach, len(part)))
+        runs = np.array([pairs[k][2][j][5] - pairs[k][2][j][4] for _, _, k, j in part])
+        cells = [through + runs + sides[1 - side][0] >= 0 for side, (_, through) in enumerate(sides)]
+        total = runs + cells[0].sum(axis=0) + cells[1].sum(axis=0)
+        for p in np.flatnonzero(total >= least - least // ONE_IN).tolist():
+            _, _, k, j = part[p]
+            low, high, _, _, begin, end = pairs[k][2][j].tolist()
+            kept[k].append(j)
+            reached[k][begin:end] = True
+            reached[k][end:high] |= cells[0][: high - end, p]
+            reached[k][low:begin] |= cells[1][: begin - low, p][::-1]
+    return [(int(r.sum()), windows[sorted(own)]) for r, own, (_, _, windows) in zip(reached, kept, pairs)]
+
+
+def _from_run(equal: list[np.ndarray], reach: int, jobs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best sum on this side of the run, by row the best sum through an equal cell of it), for rows that go away from the run.
+
+    A passage may leave the run before its end, with a deletion of s units, for a diagonal on which it meets the rows just
+    behind the run: its sum there is at most -8 s + the number of rows, which is let in; farther rows are met no worse from the end.
+    """
+    wide, cost, none = 2 * reach + 1, ONE_IN - 1, -1_000_000
+    shift = cost * np.arange(wide)[:, None]
+    state = np.full((wide, jobs), none)
+    state[reach] = 0
+    state = np.maximum.accumulate(state + shift, axis=0) - shift
+    before = []
+    for i, e in enumerate(equal):
+        early = np.arange(i + 1, reach + 1)
+        state[reach - early] = np.maximum(state[reach - early], (i - (cost + 1) * early)[:, None])
+        before.append(state)
+        new = state + np.where(e, 1, -cost)
+        np.maximum(new[:-1], state[1:] - cost, out=new[:-1])  # a unit of the item left out
+        state = np.maximum.accumulate(new + shift, axis=0) - shift  # units inserted
+    rest = np.zeros((wide, jobs), dtype=np.int64)
+    through = np.full((len(equal), jobs), none)
+    for i in range(len(equal) - 1, -1, -1):
+        e = equal[i]
+        through[i] = np.where(e, before[i] + 1 + rest, none).max(axis=0)
+        new = rest + np.where(e, 1, -cost)
+        np.maximum(new[1:], rest[:-1] - cost, out=new[1:])
+        new = np.maximum(new, 0)
+        rest = np.maximum.accumulate((new - shift)[::-1], axis=0)[::-1] + shift
+    return rest[reach], through
+
+
 def _search(jobs: list[tuple[int, np.ndarray, np.ndarray, int, int]], reach: int, least: int, out: list[np.ndarray]) -> None:
     """Marks what each job (pair, document, part of the item, its place, diagonal) finds within ``reach`` of its diagonal."""
     n, wide = max(len(item) for _, _, item, _, _ in jobs), 2 * reach + 1
@@ -334,9 +406,12 @@ class Items:
         jobs = []
         for k, a, b in zip(open_.tolist(), np.searchsorted(of, open_), np.searchsorted(of, open_, side="right")):
             d, i = divmod(int(distinct[k]), total)
-            jobs.append((flat[ends[d] : ends[d + 1]], self.codes[self.first[i] : self.first[i + 1]], windows[a:b] - np.array([0, 0, ends[d], 0])))
+            jobs.append((flat[ends[d] : ends[d + 1]], self.codes[self.first[i] : self.first[i + 1]], windows[a:b] - np.array([0, 0, ends[d], 0, 0, 0])))
+        bounds = plausible(jobs, self.least)
+        some_left = [x for x, ((most_left, left), k) in enumerate(zip(bounds, open_.tolist())) if 2 * most_left >= size[k]]
         found = sure.copy()
-        found[open_] = [int(c.sum()) for c in covered(jobs, self.least)]
+        found[open_] = 0
+        found[open_[some_left]] = [int(c.sum()) for c in covered([(jobs[x][0], jobs[x][1], bounds[x][1]) for x in some_left], self.least)]
         return [(int(distinct[k] // total), int(self.ids[distinct[k] % total]), int(found[k]), int(size[k])) for k in some.tolist() if 2 * found[k] >= size[k]]
 
     def _enough(self, pair: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:

@@ -125,6 +125,25 @@ def test_leaks_in_overlapping_and_repeated_passages(spark):
     assert len(want) == 2 and leak(spark, texts, [(1, " ".join(item), "en")]) == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_leaks_of_random_edits_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(14)}" for _ in range(44)]  # few words, so that many diagonals meet
+    texts = []
+    for _ in range(14):
+        a = rng.randrange(0, 20)
+        part = words[a : a + rng.randrange(18, 44)]
+        for _ in range(rng.randrange(0, 5)):
+            k = rng.randrange(len(part))
+            part = rng.choice([part[:k] + part[k + 1 :], [*part[:k], "x", *part[k:]], [*part[:k], "y", *part[k + 1 :]], [*part[:k], *part[max(0, k - 7) : k], *part[k:]]])
+        texts.append(" ".join(["q", *part, "z"]))
+    want = {(i, 1): n for i, t in enumerate(texts) if 2 * (n := repeated(t.split(), words, leakage.LEAST)) >= len(words)}
+    assert leak(spark, texts, [(1, " ".join(words), "en")]) == want
+    docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words), "en")], "item_id long, text string, lang string")
+    found = leakage.leaks(docs, "doc_id", "text", table, "item_id", "text", "lang", count=False).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == set(want)
+
+
 def test_leaks_by_characters(spark):
     item = "这是一个用来检查泄漏的句子它必须足够长才能被识别出来谢谢大家的帮助"
     got = leak(spark, ["前面" + item[:22] + "后面", item[:15], item.replace("句", "词")], ((7, item, "zh"), (8, None, "zh"), (9, "短", "zh")))

@@ -126,14 +126,16 @@ class Names:
         self.closings = {w.split()[-1] for w in CLOSINGS.split("|")} | set(CLOSINGS.split("|"))
         self.led = re.compile(rf"(?<!\w)(?:{INTRODUCTIONS}|{CLOSINGS})[,:]?\s?(?:{_TITLES}\s)*\Z")
         self.any = self.proper | self.lower
-        self.told = re.compile(rf"(?<!\w)(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{_FULL})(?![\w@＠])")
-        self.closed = re.compile(rf"(?<![\w])(?:{CLOSINGS})(?:[,:]\s{{0,2}}|\s)(?:{_TITLES}\s)*(?P<told>{_FULL})(?=\s*(?:\n|\Z|[.,;])|\s[a-z])")
-        self.verb = re.compile(rf"(?<![\w@.'’&-])(?P<told>{_FULL})(?=\s(?:{PERSON_VERBS})\b)")
-        self.verbs = re.compile(rf"\s(?:{PERSON_VERBS})\b")
+        told = rf"(?:{INTRODUCTIONS})\s?(?:{_TITLES}\s)*(?P<told>{_FULL})(?![\w@＠])"
+        closed = rf"(?:{CLOSINGS})(?:[,:]\s{{0,2}}|\s)(?:{_TITLES}\s)*(?P<closed>{_FULL})(?=\s*(?:\n|\Z|[.,;])|\s[a-z])"
+        self.told = re.compile(rf"(?<!\w)(?:{told}|{closed})")
+        self.verb, self.verbs = re.compile(rf"(?<![\w@.'’&-])(?P<told>{_FULL})\Z"), re.compile(rf"\s(?:{PERSON_VERBS})\b")
 
     def by_given(self, text: str) -> list[tuple[int, int]]:
         """Names with a known given name, in either order."""
         found, upto = [], 0
+        if self.any.isdisjoint(_WORDS.findall(text)):
+            return found
         for m in _WORDS.finditer(text):
             word, (a, b) = m[0], m.span()
             if a < upto or word not in self.any:
@@ -168,10 +170,11 @@ class Names:
 
     def by_context(self, text: str, mails: list[str]) -> list[tuple[int, int]]:
         """Names behind a phrase, before a verb of persons, or spelled by an e-mail address of the text."""
-        found = [m.span("told") for m in self.told.finditer(text)]
-        found += [m.span("told") for m in self.closed.finditer(text)]
-        if self.verbs.search(text):
-            found += [m.span("told") for m in self.verb.finditer(text) if m["told"].split()[0] not in _NO_GIVEN]
+        found = [m.span(m.lastgroup) for m in self.told.finditer(text)]
+        for v in self.verbs.finditer(text):
+            m = self.verb.search(text, max(0, v.start() - 80), v.start()) if text[v.start() - 1 : v.start()].isalpha() else None
+            if m and m["told"].split()[0] not in _NO_GIVEN:
+                found.append(m.span("told"))
         for mail in mails:
             parts = [p for p in re.split(r"[._\-]+", re.split(r"[@＠(\[ ]", mail)[0]) if len(p) > 1 and p.isalpha()]
             if len(parts) == 2:

@@ -95,12 +95,12 @@ _UP = "A-ZÀ-ÖØ-Þ"
 _TOWN = rf"[{_UP}][\w’'\-]+"
 _PLACE = rf"(?:[0-9]{{5}}\s{_TOWN}|{_TOWN}\s[0-9]{{5}}(?![0-9])|{_TOWN})"
 _EN = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Close|Drive|Dr|Boulevard|Blvd|Place|Square|Terrace|Way"
-#: Street addresses by form, each with the words of which one must stand in the text.
-ADDRESSES = [(hints, re.compile(pattern)) for hints, pattern in (
-    ([*_EN.split('|'), *_EN.upper().split('|')], rf"(?:(?:Flat|FLAT|Apt\.?|Unit)\s[0-9]+[A-Za-z]?,\s)?(?<![0-9.,\-])[0-9]{{1,4}}[A-Za-z]?\s{_TOWN}\s(?:{_EN}|{_EN.upper()})\b\.?(?:,\s(?:Apt|APT|Flat|FLAT|Unit)\.?\s[0-9]+[A-Za-z]?)?(?:,\s|\s(?:in|IN)\s){_PLACE}"),
-    ("str. straße strasse STRASSE STRAẞE STR. gasse GASSE weg WEG allee platz straat STRAAT laan gracht gatan GATAN vägen VÄGEN".split(), rf"\b{_TOWN}(?:str\.|straße|strasse|STRASSE|STRAẞE|STRASSE|STR\.|gasse|GASSE|weg|WEG|allee|platz|straat|STRAAT|laan|gracht|gatan|GATAN|vägen|VÄGEN)\s[0-9]{{1,4}}\s?[A-Za-z]?,\s{_PLACE}"),
-    ("rue av. avenue chemin boulevard bd place allée RUE AV. AVENUE CHEMIN".split(), rf"(?<![0-9.,\-])[0-9]{{1,4}}(?:\s(?:bis|ter|BIS|TER))?,?\s(?:rue|av\.|avenue|chemin|boulevard|bd|place|allée|RUE|AV\.|AVENUE|CHEMIN)\s(?:(?:des|de|du|la|le|les|DES|DE|DU|LA)\s|d[’']|l[’'])*{_TOWN},\s{_PLACE}"),
-    ("C/ Calle Avda. Avenida Av. Plaza Paseo CALLE AVDA. Via Viale Piazza Corso V.le VIA VIALE Rua R. Travessa RUA AVENIDA".split(), rf"\b(?:C/|Calle|Avda\.|Avenida|Av\.|Plaza|Paseo|CALLE|AVDA\.|Via|Viale|Piazza|Corso|V\.le|VIA|VIALE|Rua|R\.|Travessa|RUA|AVENIDA)\s(?:(?:de|da|do|di|del|della|la)\s)*{_TOWN},?\s(?:n\.?º?\s?)?[0-9]{{1,4}}[A-Za-z]?(?:,\s[0-9]{{1,2}}\.?[ºª°](?:\s[A-Z]\b|\s(?:izq|dcha|esq|dto)\.?)?)?,\s{_PLACE}"),
+#: Street addresses by form, each with the words of which one must stand in the text, and ends of words likewise.
+ADDRESSES = [(frozenset(whole), ends, re.compile(pattern)) for whole, ends, pattern in (
+    ([*_EN.split('|'), *_EN.upper().split('|')], (), rf"(?:(?:Flat|FLAT|Apt\.?|Unit)\s[0-9]+[A-Za-z]?,\s)?(?<![0-9.,\-])[0-9]{{1,4}}[A-Za-z]?\s{_TOWN}\s(?:{_EN}|{_EN.upper()})\b\.?(?:,\s(?:Apt|APT|Flat|FLAT|Unit)\.?\s[0-9]+[A-Za-z]?)?(?:,\s|\s(?:in|IN)\s){_PLACE}"),
+    ((), ("str.", "straße", "strasse", "STRASSE", "STRAẞE", "STR.", "gasse", "GASSE", "weg", "WEG", "allee", "platz", "straat", "STRAAT", "laan", "gracht", "gatan", "GATAN", "vägen", "VÄGEN"), rf"\b{_TOWN}(?:str\.|straße|strasse|STRASSE|STRAẞE|STRASSE|STR\.|gasse|GASSE|weg|WEG|allee|platz|straat|STRAAT|laan|gracht|gatan|GATAN|vägen|VÄGEN)\s[0-9]{{1,4}}\s?[A-Za-z]?,\s{_PLACE}"),
+    ("rue av avenue chemin boulevard bd place allée RUE AV AVENUE CHEMIN".split(), (), rf"(?<![0-9.,\-])[0-9]{{1,4}}(?:\s(?:bis|ter|BIS|TER))?,?\s(?:rue|av\.|avenue|chemin|boulevard|bd|place|allée|RUE|AV\.|AVENUE|CHEMIN)\s(?:(?:des|de|du|la|le|les|DES|DE|DU|LA)\s|d[’']|l[’'])*{_TOWN},\s{_PLACE}"),
+    ("C Calle Avda Avenida Av Plaza Paseo CALLE AVDA Via Viale Piazza Corso V VIA VIALE Rua R Travessa RUA AVENIDA".split(), (), rf"\b(?:C/|Calle|Avda\.|Avenida|Av\.|Plaza|Paseo|CALLE|AVDA\.|Via|Viale|Piazza|Corso|V\.le|VIA|VIALE|Rua|R\.|Travessa|RUA|AVENIDA)\s(?:(?:de|da|do|di|del|della|la)\s)*{_TOWN},?\s(?:n\.?º?\s?)?[0-9]{{1,4}}[A-Za-z]?(?:,\s[0-9]{{1,2}}\.?[ºª°](?:\s[A-Z]\b|\s(?:izq|dcha|esq|dto)\.?)?)?,\s{_PLACE}"),
 )]
 
 
@@ -131,10 +131,10 @@ class Names:
         self.told = re.compile(rf"(?<!\w)(?:{told}|{closed})")
         self.verb, self.verbs = re.compile(rf"(?<![\w@.'’&-])(?P<told>{_FULL})\Z"), re.compile(rf"\s(?:{PERSON_VERBS})\b")
 
-    def by_given(self, text: str) -> list[tuple[int, int]]:
+    def by_given(self, text: str, words: set[str]) -> list[tuple[int, int]]:
         """Names with a known given name, in either order."""
         found, upto = [], 0
-        if self.any.isdisjoint(_WORDS.findall(text)):
+        if self.any.isdisjoint(words):
             return found
         for m in _WORDS.finditer(text):
             word, (a, b) = m[0], m.span()
@@ -201,19 +201,20 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
         if all(b <= x or a >= y for x, y, _ in taken):
             taken.append((a, b, kind))
 
-    mails = []
+    mails, words = [], set(_WORDS.findall(text))
     if "@" in text or "＠" in text or "at)" in text or "at]" in text or " at " in text and " dot " in text:
         for m in EMAIL.finditer(text):
             add(*m.span(), "email")
             mails.append(m[0])
     if _ANY_DIGIT.search(text):
-        for a, b in sorted(m.span() for hints, pattern in ADDRESSES if any(h in text for h in hints) for m in pattern.finditer(text)):
+        forms = [pattern for whole, ends, pattern in ADDRESSES if not whole.isdisjoint(words) or any(e in text for e in ends)]
+        for a, b in sorted(m.span() for pattern in forms for m in pattern.finditer(text)):
             add(a, b, "address")
         for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE)):
             for m in pattern.finditer(text):
                 if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
                     add(*m.span(), kind)
-    for a, b in names.by_given(text):
+    for a, b in names.by_given(text, words):
         if not _NO_NAME.search(text, a, b) and not _FIRM.match(text, b):
             add(a, b, "name")
     for a, b in names.by_context(text, mails):

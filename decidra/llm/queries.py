@@ -12,10 +12,12 @@ from decidra.session import bounded_broadcast, table
 
 
 def _limited_requests(spark: SparkSession, d: str) -> DataFrame:
-    limits = bounded_broadcast(table(spark, d, "model_limits").select(F.col("model").alias("_model"), "max_chars", "overlap_chars"))
+    """States with the limits of their model; a null model, and one that is not listed, has those of ``standard``."""
+    limits = table(spark, d, "model_limits").select(F.col("model").alias("_model"), "max_chars", "overlap_chars")
+    usual = limits.where("_model = 'standard'").agg(F.max("max_chars").alias("_max"), F.max("overlap_chars").alias("_overlap"))  # one row
     requests = table(spark, d, "requests").select("request_id", F.coalesce("model", F.lit("standard")).alias("_model"), "state")
-    own = requests.join(limits, "_model", "left").drop("_model")
-    return own.withColumn("max_chars", F.coalesce("max_chars", F.raise_error(F.lit("a model without limits")).cast("int")))
+    own = requests.join(bounded_broadcast(limits), "_model", "left").crossJoin(F.broadcast(usual))
+    return own.select("request_id", "state", F.coalesce("max_chars", "_max").alias("max_chars"), F.coalesce("overlap_chars", "_overlap").alias("overlap_chars"))
 
 
 def _split_requests(spark: SparkSession, d: str) -> DataFrame:

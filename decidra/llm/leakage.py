@@ -12,7 +12,7 @@ runs of an item are its shingles, ordered by their counts over all documents. Ha
   bounds), are dropped. What is left is verified exactly: the best alignments through each equal unit around the hits
   decide whether it lies in a passage, and the repeated units are counted.
 
-Items are taken in blocks of ``ITEM_LIMIT``, each of which is sent to every task and joined with all documents.
+Items are taken in blocks of ``ITEM_LIMIT``, each of which is sent once to every executor and joined with all documents.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decidra.session import cut_lineage, ensure_checkpoint_dir, remove_path
 
-#: Items that are sent to every task at once; more are joined in blocks.
+#: Items that are sent to every executor at once; more are joined in blocks.
 ITEM_LIMIT = 50_000
 #: A passage of 10 words with one deviation has a run of at least 5; of 20 characters with two, of 6.
 RUN, RUN_CJK = 5, 6
@@ -364,9 +365,20 @@ class Items:
         hashes = np.concatenate([*flat, np.empty(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owners, self.places = hashes[order], self.owners[order], self.places[order]
+        self._mark()
+
+    def _mark(self) -> None:
         self.some = np.zeros(1 << 24, dtype=bool)
         self.some[(self.hashes >> np.uint64(40)).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        """Without the marks: 16 MB, which every executor would keep on disk, for what it makes of the hashes at once."""
+        return {k: v for k, v in self.__dict__.items() if k != "some"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._mark()
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are shingles of an item."""
         if not len(self.hashes):
@@ -437,7 +449,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values], dtype=np.int64)], pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
 
 
-def _scan(index: list[Items]):
+def _scan(index: Broadcast[list[Items]]):
     """Of each document with a shingle of an item: its unit codes, and these shingles with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +458,7 @@ def _scan(index: list[Items]):
             if len(known) > 1_000_000:
                 known.clear()
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for items in index:
+            for items in index.value:
                 codes = [_codes(units(t, items.by_char), known) if not items.by_char or _HAS_CJK.search(t) else np.empty(0, dtype=np.uint64) for t in texts]
                 lengths = np.array([len(c) for c in codes])
                 flat, doc, first = np.concatenate([*codes, np.empty(0, np.uint64)]), np.repeat(np.arange(len(codes)), lengths), np.r_[0, np.cumsum(lengths)]
@@ -463,10 +475,10 @@ def _scan(index: list[Items]):
     return run
 
 
-def _verify(index: list[Items], count: bool):
+def _verify(index: Broadcast[list[Items]], count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for items in index:
+            for items in index.value:
                 own = batch.filter(pa.compute.equal(batch.column("by_char"), items.by_char))
                 if own.num_rows:
                     ids = own.column("doc_id").to_pylist()
@@ -502,8 +514,9 @@ def _leaks_of(docs: DataFrame, rows: list, count: bool) -> DataFrame:
     for by_char in (False, True):  # an item with several texts is several entries
         own = [(r.i, u) for r in sorted(rows, key=lambda r: (r.i, r.t)) if _by_char(r.t, r.l) == by_char and len(u := units(r.t, by_char)) >= (LEAST_CJK if by_char else LEAST)]
         numbered.append(Items(by_char, [i for i, _ in own], [u for _, u in own]))
+    index = spark.sparkContext.broadcast(numbered)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/leaks-{uuid.uuid4().hex}"
-    docs.mapInArrow(_scan(numbered), SCANNED).write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(_scan(index), SCANNED).write.option("compression", "zstd").parquet(path)
     scanned = spark.read.schema(SCANNED).parquet(path)
     # the order of the shingles of each item by rarity, and of these all but the most common ones that it can lack
     counts = scanned.select("by_char", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("by_char", "hash").agg(F.count("*").alias("docs"))
@@ -516,6 +529,7 @@ def _leaks_of(docs: DataFrame, rows: list, count: bool) -> DataFrame:
     prefix = listed.join(counts, ["by_char", "hash"], "left").withColumn("rank", rank).where(F.col("rank") <= F.greatest("keep", F.lit(1))).select("by_char", "hash", "item").distinct()
     hits = scanned.select("doc_id", "by_char", F.explode(F.array_distinct("hashes")).alias("hash"))
     candidates = hits.join(prefix, ["by_char", "hash"]).groupBy("doc_id", "by_char").agg(F.array_sort(F.collect_set("item")).alias("wanted"))
-    found = cut_lineage(scanned.join(candidates, ["doc_id", "by_char"]).select("doc_id", "by_char", "codes", "hashes", "at", "wanted").mapInArrow(_verify(numbered, count), FOUND))
+    found = cut_lineage(scanned.join(candidates, ["doc_id", "by_char"]).select("doc_id", "by_char", "codes", "hashes", "at", "wanted").mapInArrow(_verify(index, count), FOUND))
     remove_path(spark, path)
+    index.destroy()
     return found

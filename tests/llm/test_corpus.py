@@ -1,4 +1,5 @@
 import collections
+import pickle
 import random
 
 import numpy as np
@@ -150,6 +151,16 @@ def test_leaks_by_characters(spark):
     assert (0, 7) in got and (1, 7) not in got and got[2, 7] == len(item) - 1
 
 
+def test_items_are_sent_without_what_their_hashes_tell():
+    words = ITEM.split()
+    index = leakage.Items(False, [1, 2], [words, words[::-1]])
+    sent = pickle.dumps(index)
+    assert len(sent) < 10_000  # 16 MB would lie on the disk of every executor
+    again, codes = pickle.loads(sent), leakage._codes([*words, "q", *words[::-1], "r"], {})
+    hashes = leakage.shingles(codes, leakage.RUN)
+    assert index.known(hashes).sum() == 32 and (again.known(hashes) == index.known(hashes)).all()
+
+
 def test_least_hits_is_a_bound():
     rng = random.Random(1)
     for n in (20, 37, 60, 76):

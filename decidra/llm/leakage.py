@@ -4,8 +4,8 @@ A passage that counts as a repeat has at most one deviating unit in eight, so it
 runs of an item are its shingles, ordered by their counts over all documents. Half of an item in passages holds at least
 ``least_hits`` of its shingles, so all but the ``least_hits - 1`` most common ones are the necessary prefix:
 
-* Each document is tokenised once; of its shingles only those of any item are kept, with the document's unit codes, in a
-  table in the shared folder. Documents without such a shingle end here.
+* Each document is tokenised once; of its shingles only those of any item are kept, with the numbers of the document's
+  units (one number for all that no item has), in a table in the shared folder. Documents without such a shingle end here.
 * The counts of the shingles come from that table, and rank the shingles of each item.
 * The table is joined with the prefixes on the shingle; what meets are candidate pairs of a document and an item.
 * Pairs with fewer hits than ``least_hits``, or whose hits leave no room for passages around them (length and positional
@@ -20,8 +20,8 @@ from __future__ import annotations
 import html
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from decidra.session import cut_lineage, ensure_checkpoint_dir, remove_path
 
 #: Items that are sent to every executor at once; more are joined in blocks.
 ITEM_LIMIT = 50_000
+#: Documents of a batch that are worked on at once, so that the memory of a task doesn't follow the size of its batches.
+DOCS_AT_ONCE = 2_000
 #: A passage of 10 words with one deviation has a run of at least 5; of 20 characters with two, of 6.
 RUN, RUN_CJK = 5, 6
 LEAST, LEAST_CJK, ONE_IN = 10, 20, 8
@@ -58,20 +60,16 @@ def units(text: str, by_char: bool) -> list[str]:
     return [c for c in text if c.isalnum()]
 
 
-def _codes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    found = list(map(known.get, words))
-    if None in found:
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = known[w] = zlib.crc32(w.encode()) | (len(w) & 0xFF) << 32
-    return np.array(found, dtype=np.uint64)
+def _codes(words: list[str], numbers: dict[str, int]) -> np.ndarray:
+    """The numbers of the units, from 2 on; 1 for those that no item has, as they equal nothing."""
+    return np.fromiter(map(numbers.get, words, repeat(1)), dtype=np.int32, count=len(words))
 
 
 def shingles(codes: np.ndarray, run: int) -> np.ndarray:
     """Hashes of all runs of so many units."""
     if len(codes) < run:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(len(codes) - run + 1, dtype=np.uint64)
+    codes, out = codes.astype(np.uint64), np.zeros(len(codes) - run + 1, dtype=np.uint64)
     for k in range(run):
         out = (out ^ (codes[k : len(codes) - run + 1 + k] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
@@ -229,7 +227,7 @@ def plausible(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int
         n = max(j[1] for j in part)
         sides = []
         for step in (1, -1):  # behind the run, then before it with both texts turned round
-            items, docs = np.zeros((n, len(part)), dtype=np.uint64), np.ones((n + 2 * reach, len(part)), dtype=np.uint64)
+            items, docs = np.zeros((n, len(part)), dtype=np.int32), np.ones((n + 2 * reach, len(part)), dtype=np.int32)
             for p, (_, _, k, j) in enumerate(part):
                 doc, item, windows = pairs[k]
                 low, high, diagonal, _, begin, end = windows[j].tolist()
@@ -287,7 +285,7 @@ def _from_run(equal: list[np.ndarray], reach: int, jobs: int) -> tuple[np.ndarra
 def _search(jobs: list[tuple[int, np.ndarray, np.ndarray, int, int]], reach: int, least: int, out: list[np.ndarray]) -> None:
     """Marks what each job (pair, document, part of the item, its place, diagonal) finds within ``reach`` of its diagonal."""
     n, wide = max(len(item) for _, _, item, _, _ in jobs), 2 * reach + 1
-    items, docs = np.zeros((n, len(jobs)), dtype=np.uint64), np.ones((n + wide - 1, len(jobs)), dtype=np.uint64)  # no code is 0 or 1
+    items, docs = np.zeros((n, len(jobs)), dtype=np.int32), np.ones((n + wide - 1, len(jobs)), dtype=np.int32)  # no code of an item is 0 or 1
     for p, (_, doc, item, _, diagonal) in enumerate(jobs):
         items[: len(item), p] = item
         a = diagonal - reach
@@ -353,11 +351,11 @@ class Items:
     """The items of one kind (by words or by characters), numbered from 0, with the index of their shingles."""
 
     def __init__(self, by_char: bool, ids: list[int], texts: list[list[str]]) -> None:
-        known: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
         self.by_char, self.ids = by_char, np.array(ids, dtype=np.int64)
         self.run, self.least = (RUN_CJK, LEAST_CJK) if by_char else (RUN, LEAST)
-        each = [_codes(t, known) for t in texts]
-        self.codes, self.first = np.concatenate([*each, np.empty(0, np.uint64)]), np.cumsum([0, *map(len, each)])
+        each = [np.array([self.numbers.setdefault(u, len(self.numbers) + 2) for u in t], dtype=np.int32) for t in texts]
+        self.codes, self.first = np.concatenate([*each, np.empty(0, np.int32)]), np.cumsum([0, *map(len, each)])
         self.lows = np.array([least_hits(len(c), self.run, self.least) for c in each], dtype=np.int64)
         flat = [shingles(c, self.run) for c in each]
         sizes = [len(f) for f in flat]
@@ -393,7 +391,7 @@ class Items:
 
         Without ``count`` the units repeated are at least half, but not all are looked for where half is sure.
         """
-        flat, ends = codes.flatten().to_numpy().view(np.uint64), codes.offsets.to_numpy() - codes.offsets[0].as_py()
+        flat, ends = codes.flatten().to_numpy(), codes.offsets.to_numpy() - codes.offsets[0].as_py()
         doc = np.repeat(np.arange(len(hashes)), np.diff(hashes.offsets.to_numpy()))
         s, spot = hashes.flatten().to_numpy().view(np.uint64), at.flatten().to_numpy().astype(np.int64) + ends[doc]
         left = np.searchsorted(self.hashes, s)
@@ -437,7 +435,7 @@ class Items:
 
 
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("repeated", T.IntegerType()), T.StructField("units", T.IntegerType())])
-SCANNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("by_char", T.BooleanType()), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
+SCANNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("by_char", T.BooleanType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
 
 def _by_char(text: str, lang: str | None) -> bool:
@@ -449,25 +447,28 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values], dtype=np.int64)], pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            yield batch.slice(at, DOCS_AT_ONCE)
+
+
 def _scan(index: Broadcast[list[Items]]):
     """Of each document with a shingle of an item: its unit codes, and these shingles with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            if len(known) > 1_000_000:
-                known.clear()
+        for batch in _slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for items in index.value:
-                codes = [_codes(units(t, items.by_char), known) if not items.by_char or _HAS_CJK.search(t) else np.empty(0, dtype=np.uint64) for t in texts]
+                codes = [_codes(units(t, items.by_char), items.numbers) if not items.by_char or _HAS_CJK.search(t) else np.empty(0, dtype=np.int32) for t in texts]
                 lengths = np.array([len(c) for c in codes])
-                flat, doc, first = np.concatenate([*codes, np.empty(0, np.uint64)]), np.repeat(np.arange(len(codes)), lengths), np.r_[0, np.cumsum(lengths)]
+                flat, doc, first = np.concatenate([*codes, np.empty(0, np.int32)]), np.repeat(np.arange(len(codes)), lengths), np.r_[0, np.cumsum(lengths)]
                 s = shingles(flat, items.run)
                 hits = np.flatnonzero(items.known(s) & (doc[: len(s)] == doc[items.run - 1 :][: len(s)]))  # no shingle spans two documents
                 some, cut = np.unique(doc[hits], return_index=True)
                 parts = list(zip(some.tolist(), cut, np.r_[cut[1:], len(hits)]))
                 columns = [
-                    pa.array([ids[d] for d, _, _ in parts], pa.int64()), pa.array([items.by_char] * len(parts), pa.bool_()), _lists([codes[d] for d, _, _ in parts], pa.int64()),
+                    pa.array([ids[d] for d, _, _ in parts], pa.int64()), pa.array([items.by_char] * len(parts), pa.bool_()), _lists([codes[d] for d, _, _ in parts], pa.int32()),
                     _lists([s[hits[a:b]] for _, a, b in parts], pa.int64()), _lists([(hits[a:b] - first[d]).astype(np.int32) for d, a, b in parts], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=SCANNED.names)
@@ -477,7 +478,7 @@ def _scan(index: Broadcast[list[Items]]):
 
 def _verify(index: Broadcast[list[Items]], count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for items in index.value:
                 own = batch.filter(pa.compute.equal(batch.column("by_char"), items.by_char))
                 if own.num_rows:

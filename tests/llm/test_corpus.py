@@ -151,12 +151,24 @@ def test_leaks_by_characters(spark):
     assert (0, 7) in got and (1, 7) not in got and got[2, 7] == len(item) - 1
 
 
+def test_leaks_with_words_of_one_checksum(spark):
+    words = ["plumless" if k == 9 else w for k, w in enumerate(ITEM.split())]  # buckeroo has its length and CRC-32
+    assert leak(spark, [" ".join("buckeroo" if w == "plumless" else w for w in words)], [(1, " ".join(words), "en")]) == {(0, 1): 19}
+
+
+def test_leaks_of_batches_larger_than_a_slice(spark):
+    n = 2 * leakage.DOCS_AT_ONCE + 1
+    docs = spark.createDataFrame([(i, ITEM if i % 500 == 0 else f"none {i}") for i in range(n)], "doc_id long, text string").coalesce(1)
+    table = spark.createDataFrame([(1, ITEM, "en")], "item_id long, text string, lang string")
+    assert {r.doc_id for r in leakage.leaks(docs, "doc_id", "text", table, "item_id", "text", "lang").collect()} == set(range(0, n, 500))
+
+
 def test_items_are_sent_without_what_their_hashes_tell():
     words = ITEM.split()
     index = leakage.Items(False, [1, 2], [words, words[::-1]])
     sent = pickle.dumps(index)
     assert len(sent) < 10_000  # 16 MB would lie on the disk of every executor
-    again, codes = pickle.loads(sent), leakage._codes([*words, "q", *words[::-1], "r"], {})
+    again, codes = pickle.loads(sent), leakage._codes([*words, "q", *words[::-1], "r"], index.numbers)
     hashes = leakage.shingles(codes, leakage.RUN)
     assert index.known(hashes).sum() == 32 and (again.known(hashes) == index.known(hashes)).all()
 

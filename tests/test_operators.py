@@ -161,6 +161,13 @@ def test_measurement_rows(spark):
     assert [len(r.measurements) for r in got] == [1, 1, 0, 0] and got[0].measurements[0].base_value == 2_000_000
 
 
+def test_measurements_are_read_once(spark):
+    df = units.measurements(spark.createDataFrame([("latency 2 s",), ("none",)], "t string"), F.col("t"), F.lit("."), F.lit(""))
+    some = df.select("t", F.transform("measurements", lambda m: m["base_value"]).alias("v")).where(F.size("v") > 0)
+    assert some._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.t, r.v) for r in some.collect()] == [("latency 2 s", [2_000_000])]
+
+
 def test_units_by_identity(spark):
     sizes = {"mass": {"g": 1e-3, "kg": 1.0}, "density": {"kg/m3": 1.0, "g/cm3": 1000.0}, "volume": {"l": 1e-3, "m3": 1.0}}
     identity = [{"mass": 1, "density": -1, "volume": -1}]

@@ -79,8 +79,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "requests").where("state_kind = 'text'").select(F.lit("requests").alias("origin"), F.col("request_id").cast("string").alias("record_id"), F.col("state").alias("text"))
     candidates = table(spark, d, "candidates").select(F.lit("candidates").alias("origin"), F.concat_ws("/", "decision_id", "candidate_id").alias("record_id"), "text")
     ends = requests.unionAll(candidates).select("origin", "record_id", sentences.sentence_ends(F.col("text")).alias("ends"))
-    once = ends.where(F.size("ends") > 0).dropDuplicates(["origin", "record_id", "ends"])
-    return once.select("origin", "record_id", F.explode("ends").alias("end_pos"))
+    once = ends.dropDuplicates(["origin", "record_id", "ends"])
+    # outer, and filtered behind: a condition on the arrays, stated or inferred from a plain explode, would cut every text again
+    return once.select("origin", "record_id", F.explode_outer("ends").alias("end_pos")).where("end_pos is not null")
 
 
 def _leaks(spark: SparkSession, d: str, count: bool) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from decidra.llm import pii, sentences, splitting
+from decidra.llm import pii, queries, sentences, splitting
 
 
 def cut(spark, text):
@@ -40,6 +40,17 @@ def test_sentences_keep_rows_columns_and_long_texts(spark):
     assert ends[:3] == [12, 25, 38]
 
 
+def test_each_text_is_cut_once(spark, tmp_path):
+    states = [(1, "text", "One. Two."), (1, "text", "One. Two."), (2, "json", "No."), (3, "text", None), (4, "text", " "), (5, None, "No.")]
+    spark.createDataFrame(states, "request_id long, state_kind string, state string").write.parquet(f"{tmp_path}/requests.parquet")
+    texts = [("d", "a", "Three!"), ("d", "b", None), ("d", "c", ""), (None, "a", "Four")]
+    spark.createDataFrame(texts, "decision_id string, candidate_id string, text string").write.parquet(f"{tmp_path}/candidates.parquet")
+    found = queries.p5_found(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2  # one for each table
+    assert sorted(map(tuple, found.collect())) == [("candidates", "a", 4), ("candidates", "d/a", 6), ("requests", "1", 4), ("requests", "1", 9)]
+
+
 def greedy(text, limit, overlap, cuts):
     """The plain walk from cut to cut over given levels of boundaries."""
     at, out = 0, []
